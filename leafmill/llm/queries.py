@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, chat, linededup, media, packing, sharding, simhash
+from leafmill.llm import bpe, chat, linededup, media, packing, secrets, sharding, simhash, toxicity
 from leafmill.llm._shared import table
 
 
@@ -51,6 +51,15 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_bpe_round_trip, op3_media_columns, op4_sharding, op5_simhash_near_dedup, op6_best_fit_packing, op7_chat_formatting)}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_bpe_round_trip, op3_media_columns, op4_sharding, op5_simhash_near_dedup, op6_best_fit_packing, op7_chat_formatting, op8_toxicity, op9_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
