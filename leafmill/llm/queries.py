@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, chat, linededup, media, packing, secrets, sharding, simhash, toxicity
+from leafmill.llm import ann, bpe, chat, linededup, media, packing, secrets, sharding, simhash, toxicity
 from leafmill.llm._shared import table
 
 
@@ -60,6 +60,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_bpe_round_trip, op3_media_columns, op4_sharding, op5_simhash_near_dedup, op6_best_fit_packing, op7_chat_formatting, op8_toxicity, op9_secret_scan)}
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), 20, 20)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_bpe_round_trip, op3_media_columns, op4_sharding, op5_simhash_near_dedup, op6_best_fit_packing, op7_chat_formatting, op8_toxicity, op9_secret_scan, op10_nearest_neighbours)}
 
 ORACLE_SQL: dict[str, str] = {}
