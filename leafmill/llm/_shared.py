@@ -60,6 +60,37 @@ def _clean() -> None:
             return
 
 
+#: Bits of the filter that ``marked`` broadcasts: 2 MB, whatever the number of keys.
+FILTER_BITS, _BUCKET = 1 << 24, 1 << 15
+
+
+def marked(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``df`` with ``_marked``: false only for rows whose ``key`` (a hash) isn't in the one column of ``keys``.
+
+    A bitmap of fixed size goes to all tasks, so rows that a join would drop
+    needn't be shuffled for it. Other rows may be marked by chance, the more the
+    more keys there are; so the join itself must follow.
+    """
+    bit = lambda c: F.pmod(F.col(c), F.lit(FILTER_BITS))
+    own = keys.toDF("_k").select(bit("_k").alias("_bit"))
+    bits = own.groupBy(F.floor(F.col("_bit") / _BUCKET).cast("int").alias("_bucket")).agg(F.bitmap_construct_agg(F.col("_bit") % _BUCKET).alias("_bits"))
+    at = bit(key) % _BUCKET
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = df.withColumn("_bucket", F.floor(bit(key) / _BUCKET).cast("int")).join(F.broadcast(bits), "_bucket", "left")
+    return found.withColumn("_marked", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("_bucket", "_bits")
+
+
+def apart(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text, rest)``: all columns but the text in one struct, so that no column's name can clash with an operator's."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*rest).alias("rest"))
+
+
+def together(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The inverse: the columns that ``apart`` took, with the texts of ``df``."""
+    return df.select(*(F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
