@@ -20,7 +20,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm._shared import materialize, text_of
+from leafmill.llm._shared import apart, marked, materialize, text_of, together
 
 
 class Rule(NamedTuple):
@@ -47,9 +47,6 @@ BASE = ("assign", "access", "hex")
 
 #: Choices of strings are followed up to this number.
 MOST_CHOICES = 64
-#: Bits of the filter on texts that are no candidate: 2 MB, whatever the number of texts.
-FILTER_BITS = 1 << 24
-_BUCKET = 1 << 15
 
 
 class _Choices:
@@ -173,16 +170,6 @@ def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     return whole.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
 
 
-def _possible(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """``texts`` without most of those that aren't among ``found``: by a bitmap of fixed size, so that their texts needn't be shuffled."""
-    bit = F.pmod("k1", F.lit(FILTER_BITS))
-    marks = found.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / _BUCKET).cast("int").alias("bucket")).agg(F.bitmap_construct_agg(F.col("bit") % _BUCKET).alias("bits"))
-    own = texts.withColumn("bucket", F.floor(bit / _BUCKET).cast("int")).join(F.broadcast(marks), "bucket")
-    place = bit % _BUCKET
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return own.where(F.getbit(byte, (place % 8).cast("int")) == 1).drop("bucket", "bits")
-
-
 def _matches(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """``(k1, k2, text, kinds)`` -> ``(k1, k2, kind, n, gap, size, counts)``: every match of the rules in ``kinds``, n from 0."""
     out = []
@@ -206,7 +193,7 @@ def spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     if mandatory:
         postings = materialize(build_index(texts, mandatory), "postings")
         found = materialize(candidates(postings, mandatory), "candidates")
-        once = _possible(texts, found).groupBy("k1", "k2").agg(F.first("text").alias("text"))
+        once = marked(texts, "k1", found.select("k1")).where("_marked").groupBy("k1", "k2").agg(F.first("text").alias("text"))
         parts.append(_matches(once.join(found, ["k1", "k2"]), mandatory))
     if full:
         parts.append(_matches(texts.withColumn("kinds", F.array(*(F.lit(r.kind) for r in full))), full))
@@ -253,6 +240,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     runs = materialize(found.select("_k1", "_k2", merged.alias("_runs")), "runs")
     edges = F.concat(F.array(F.lit(0).cast("long")), F.transform("_runs", lambda r: r["end"]))
     kept = F.transform(edges, lambda e, i: F.substring(F.col("text"), (e + 1).cast("int"), (F.coalesce(F.get("_runs", i)["start"], F.length("text").cast("long")) - e).cast("int")))
-    own = docs.withColumns({"_a": F.xxhash64(text_of()), "_b": F.xxhash64(F.lit(1), text_of())})
-    joined = own.join(runs, (F.col("_a") == F.col("_k1")) & (F.col("_b") == F.col("_k2")), "left")
-    return joined.withColumn("text", F.when(F.col("_runs").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, mark))).select(*docs.columns)
+    own = apart(docs).withColumns({"_a": F.xxhash64(text_of()), "_b": F.xxhash64(F.lit(1), text_of())})
+    own = marked(own, "_a", runs.select("_k1"))
+    joined = own.where("_marked").join(runs, (F.col("_a") == F.col("_k1")) & (F.col("_b") == F.col("_k2")), "left")
+    clean = F.when(F.col("_runs").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, mark))
+    return together(own.where("not _marked").select("text", "rest").unionByName(joined.select(clean.alias("text"), "rest")), docs.columns)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm._shared import materialize, text_of
+from leafmill.llm._shared import apart, marked, materialize, text_of, together
 from leafmill.llm.components import connected_components
 
 SEED = 42
@@ -221,13 +221,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     repeated in id and text leave one. Null ids come last. All columns stay, and
     the texts of what goes are never shuffled beyond one join.
     """
-    own = docs.withColumn("_hash", F.xxhash64(text_of()))
+    own = apart(docs).withColumn("_hash", F.xxhash64(text_of()))
     fps = materialize(fingerprints(own, keep=("doc_id", "_hash")), "fingerprints")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("_hash").alias("h"))
     per = fps.groupBy("fingerprint").agg(F.min(rank).alias("least"))
     least = per.join(near_groups(fps), "fingerprint").groupBy("root").agg(F.min("least").alias("least")).select("least.i", "least.h")
     same = fps["doc_id"].eqNullSafe(F.col("i")) & (fps["_hash"] == F.col("h"))
     stay = materialize(fps.join(least, same).groupBy("i", "h").agg(F.count("*").alias("_rows")), "stay")
-    joined = own.join(stay, own["doc_id"].eqNullSafe(stay["i"]) & (own["_hash"] == stay["h"]))
+    some = marked(own, "_hash", stay.select("h")).where("_marked")
+    joined = some.join(stay, some["doc_id"].eqNullSafe(stay["i"]) & (some["_hash"] == stay["h"]))
     once, more = joined.where("_rows = 1"), joined.where("_rows > 1").dropDuplicates(["i", "h"])
-    return once.select(*docs.columns).unionByName(more.select(*docs.columns))
+    return together(once.select("text", "rest").unionByName(more.select("text", "rest")), docs.columns)
