@@ -32,7 +32,7 @@ _odd_blank = re.compile(rf" (?:[{_SPACE}]|\Z)").search
 _before_word = re.compile(rf"(?= [^{_SPACE}])").split
 
 #: Entries a worker keeps, of chunks and of pieces each.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 700_000
 _NEVER = 1 << 62
 
 
