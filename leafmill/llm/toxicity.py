@@ -37,7 +37,7 @@ NEGATIONS = "not never no none without isn't aren't don't nicht nie kein keine o
 REPORTS = "said says wrote quoted claimed reported alleged sagte schrieb behauptete laut dit écrit selon dijo escribió según".split()
 
 #: Labelled rows of each class that the model is fitted on, at most, and their texts' bytes together.
-SAMPLE_ROWS, SAMPLE_BYTES = 3000, 48 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 1500, 12 << 20
 #: Weight of a stated word that the sample never shows.
 PRIOR_WEIGHT = 2.0
 STEMS = (4, 5, 6)
