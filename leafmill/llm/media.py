@@ -63,7 +63,7 @@ def unsigned(kind: int, n: int) -> bytes:
 
 def _lace_sizes(sizes: list[int], lacing: int) -> bytes:
     """The sizes of all frames but the last: nothing for fixed, runs of 255 for Xiph, differences for EBML lacing."""
-    if lacing == 2:
+    if lacing == 2 or len(sizes) == 1:
         return b""
     if lacing == 1:
         return b"".join(b"\xff" * (n // 255) + bytes([n % 255]) for n in sizes[:-1])
