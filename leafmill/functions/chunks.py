@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from leafmill.functions.text import translation_key
+
 LIMIT = 450
 # Ends of sentences.
 ENDS = ("। ", ". ", "? ", "! ")
@@ -94,3 +96,14 @@ def translate(rows: DataFrame, translator: Translator | None, target: str, conse
 
     kind = rows.schema[id].dataType.simpleString()
     return rows.select(rows[id].alias("id"), "text", "source").mapInPandas(run, f"id {kind}, translation string, error string").withColumnRenamed("id", id)
+
+
+def with_memo(rows: DataFrame, memo: DataFrame, provider: str, target: str) -> tuple[DataFrame, DataFrame]:
+    """``(id, text, source)`` parted by ``memo(memo_key, translation)``: those that are known, with their translation, and the rest.
+
+    One row for each row in all; a memo that repeats a key gives its least translation.
+    """
+    key = translation_key(F.lit(provider), F.coalesce("source", F.lit("")), F.lit(target), F.col("text"))
+    once = memo.groupBy("memo_key").agg(F.min("translation").alias("translation"))
+    joined = rows.withColumn("memo_key", key).join(once, "memo_key", "left")
+    return joined.where("translation is not null"), joined.where("translation is null").drop("translation")

@@ -145,6 +145,13 @@ def language_name(iso: Column | str) -> Column:
     return F.coalesce(names[_text(iso)], F.upper(_text(iso)))
 
 
+def with_language(codes: Column | str, code: str, selected: bool) -> Column:
+    """The list with a language added at its end or taken out."""
+    own = F.coalesce(_text(codes), F.array().cast("array<string>"))
+    one = F.array(F.lit(code))
+    return F.array_union(own, one) if selected else F.array_except(own, one)
+
+
 def is_sanskrit_only(codes: Column | str) -> Column:
     """Whether every language that isn't Latin is Sanskrit, and there is one: then no vowel is dropped."""
     others = non_latin_languages(codes)

@@ -324,6 +324,18 @@ def debounced(spark, sf_dir):
     return kept.join(counted, ["session", "ts"])
 
 
+@query("SELECT user_id::VARCHAR AS camera, arg_min(event_id, (ts, event_id)) AS frame_id FROM events WHERE value IS NOT NULL GROUP BY user_id, epoch_us(ts) // 3600000000")
+def sampled_frames(spark, sf_dir):
+    """A camera is seen once an hour here."""
+    return frames.sampled(_frames(spark, sf_dir), "1 hour").select("camera", "frame_id")
+
+
+@query("SELECT code, array_to_string(list_sort(list_distinct(list_concat(l, ['urd']))), ' ') AS added, array_to_string(list_sort(list_filter(l, lambda x: x <> 'hin')), ' ') AS removed FROM (SELECT c_custkey AS code, CASE WHEN c_custkey % 2 = 0 THEN ['eng', 'hin'] ELSE ['urd'] END AS l FROM customer)")
+def language_sets(spark, sf_dir):
+    own = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("eng"), F.lit("hin"))).otherwise(F.array(F.lit("urd")))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("code"), F.array_join(F.sort_array(text.with_language(own, "urd", True)), " ").alias("added"), F.array_join(F.sort_array(text.with_language(own, "hin", False)), " ").alias("removed"))
+
+
 @query("SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS best, round(list_max(embedding)::DOUBLE, 6) AS score FROM embeddings")
 def embedding_argmax(spark, sf_dir):
     top = F.array_max("embedding")

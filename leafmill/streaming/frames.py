@@ -96,6 +96,14 @@ def stability_stream(frames: DataFrame, automatic: bool = True, late: str = "10
     return frames.withWatermark("ts", late).groupBy("camera").applyInPandasWithState(run, OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def sampled(frames: DataFrame, every: str = "190 milliseconds", late: str = "10 seconds") -> DataFrame:
+    """The first frame of each camera in each span of 190 ms: a busy detector's frames are dropped, not queued."""
+    own = frames.withWatermark("ts", late) if frames.isStreaming else frames
+    names = [c for c in frames.columns if c not in ("camera", "ts")]
+    first = F.min_by(F.struct("ts", *names), F.struct("ts", "frame_id")).alias("f")
+    return own.groupBy("camera", F.window("ts", every).alias("w")).agg(first).select("camera", "f.*")
+
+
 def runs(frames: DataFrame, key: str, order: list[str], value: Column, tolerance: Column) -> DataFrame:
     """``frames`` with ``count``: the state machine for one number in place of four corners, as windows.
 

@@ -50,6 +50,8 @@ def test_languages(spark):
     assert col(spark, text.known_languages, lists, "array<string>") == [["hin", "eng"], ["san", "eng"], ["eng"], ["eng"], ["urd"], ["eng"]]
     assert col(spark, text.source_iso, lists, "array<string>") == ["hi", "sa", "en", "en", "ur", "en"]
     assert col(spark, text.is_sanskrit_only, lists, "array<string>") == [False, True, False, False, False, False]
+    assert col(spark, lambda c: text.with_language(c, "tam", True), lists[:2], "array<string>") == [["hin", "xxx", "eng", "tam"], ["san", "eng", "tam"]]
+    assert col(spark, lambda c: text.with_language(c, "eng", False), [["eng", "hin"], None], "array<string>") == [["hin"], []]
     assert col(spark, text.language_name, ["hi", "xy"]) == ["Hindi", "XY"]
 
 
@@ -119,6 +121,9 @@ def test_translate(spark):
 
     got = {r.id: (r.translation, r.error) for r in chunks.translate(rows, fake, "en", consent=True).collect()}
     assert got == {1: ("A\nB", None), 2: ("same", None), 3: ("", None), 4: (None, "quota"), 5: ("", None)}
+    memo = spark.createDataFrame([("own:mr>en:3:a\nb", "A B"), ("own:mr>en:3:a\nb", "A C")], "memo_key string, translation string")
+    known, rest = chunks.with_memo(rows, memo, "own", "en")
+    assert [(r.id, r.translation) for r in known.collect()] == [(1, "A B")] and sorted(r.id for r in rest.collect()) == [2, 3, 4, 5]
     import pytest
 
     for bad in ((None, "en", True), (fake, "en", False), (fake, "", True)):
