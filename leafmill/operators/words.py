@@ -57,9 +57,9 @@ def merge_passes(indic: DataFrame, latin: DataFrame) -> DataFrame:
     Overlaps are found by an equi-join on page and grid cell; only the greedy
     choice runs per page, over the few candidate pairs and not over texts.
     """
-    pairs = iou_candidates(indic, latin)
+    overlaps = iou_candidates(indic, latin)
     shown = indic.select(F.col("page_id").alias("p"), F.col("idx").alias("i"), has_indic_text("text").alias("indic"))
-    pairs = pairs.join(shown, (F.col("page_id") == F.col("p")) & (F.col("a_idx") == F.col("i"))).select("page_id", "a_idx", "b_idx", "iou", "indic")
+    pairs = overlaps.join(shown, (F.col("page_id") == F.col("p")) & (F.col("a_idx") == F.col("i"))).select("page_id", "a_idx", "b_idx", "iou", "indic")
 
     def choose(x: pd.DataFrame) -> pd.DataFrame:
         x = x[~x["indic"]].sort_values(["a_idx", "iou", "b_idx"], ascending=[True, False, True])
@@ -80,16 +80,19 @@ def merge_passes(indic: DataFrame, latin: DataFrame) -> DataFrame:
     sure = lambda c: F.coalesce(c, F.lit(0.0))
     take = F.coalesce(is_latin_only(F.col("l.text")) & (sure(F.col("l.confidence")) + LATIN_BIAS >= sure(F.col("confidence"))) & F.col("l").isNotNull(), F.lit(False))
     base = joined.select("page_id", F.col("idx").alias("o"), F.lit(0).alias("part"), F.when(take, F.col("l")).otherwise(F.struct(*fields)).alias("w"), F.when(take, "latin").otherwise("indic").alias("source"))
-    more = recovered(indic, latin, chosen).select("page_id", F.col("idx").alias("o"), F.lit(1).alias("part"), F.struct(*fields).alias("w"), F.lit("latin-recovered").alias("source"))
+    more = recovered(indic, latin, chosen, overlaps).select("page_id", F.col("idx").alias("o"), F.lit(1).alias("part"), F.struct(*fields).alias("w"), F.lit("latin-recovered").alias("source"))
     merged = base.unionByName(more).select("page_id", "part", "o", "w.*", "source")
     flagged = merged.withColumn("noise", is_noise("text", "confidence"))
     return reading_order(flagged, "part", "o").select("page_id", "ordinal", *fields, "source", "noise")
 
 
-def recovered(indic: DataFrame, latin: DataFrame, used: DataFrame | None = None) -> DataFrame:
-    """Words of the Latin pass that overlap no Indic one by more than 0.35 and are Latin, sure (60) and no junk."""
+def recovered(indic: DataFrame, latin: DataFrame, used: DataFrame | None = None, overlaps: DataFrame | None = None) -> DataFrame:
+    """Words of the Latin pass that overlap no Indic one by more than 0.35 and are Latin, sure (60) and no junk.
+
+    ``overlaps`` are the passes' :func:`iou_candidates`, if they are known; ``used`` are words that were taken already.
+    """
     good = latin.where(is_latin_only("text") & (F.coalesce("confidence", F.lit(0.0)) >= RECOVERED_FROM) & ~is_junk("text"))
-    taken = iou_candidates(indic, good).select("page_id", F.col("b_idx").alias("idx"))
+    taken = (iou_candidates(indic, good) if overlaps is None else overlaps).select("page_id", F.col("b_idx").alias("idx"))
     if used is not None:
         taken = taken.unionByName(used.select("page_id", F.col("b_idx").alias("idx")))
     return good.join(taken.distinct(), ["page_id", "idx"], "left_anti")
