@@ -110,6 +110,7 @@ def test_edit_distance():
             assert linededup._bit_parallel(a, b) == d and min(linededup._diagonals(a, b, most), most + 1) == min(d, most + 1)
         a, b = " ".join(a.split()), " ".join(b.split())
         assert linededup.similar(a, b, 0.8) == (plain_distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9))
+        assert linededup.aligned_bound(a.split(), b.split(), 99) >= plain_distance(a, b)
     a = "word " * 5000
     assert linededup.edit_distance(a, a[:9000] + "x" + a[9000:], 500) == 1
 
