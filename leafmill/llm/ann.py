@@ -32,8 +32,8 @@ DIMENSIONS = 8
 STOP = 0.5
 NEIGHBOURS = 20
 SEED = 20
-#: Vectors the cells are fitted on, at most; they are at most a quarter as many.
-SAMPLE = 16_384
+#: Vectors and components that the cells are fitted on, at most; there are at most a quarter as many cells as vectors.
+SAMPLE, SAMPLE_VALUES = 16_384, 1 << 21
 VECTORS_IN_CELL = 8_192
 LEAF = 256
 #: Query vectors that one task searches a cell for.
@@ -198,7 +198,7 @@ def nearest(rows: DataFrame, every: int = 20, neighbours: int = NEIGHBOURS, stop
     if not stats.n:
         return empty
     greatest, ratio = math.sqrt(stats.square), stopping_ratio(stop)
-    sample = np.array([r.embedding for r in vectors.select("embedding", "h1").orderBy("h1").limit(SAMPLE).collect()])
+    sample = np.array([r.embedding for r in vectors.select("embedding", "h1").orderBy("h1").limit(max(256, min(SAMPLE, SAMPLE_VALUES // stats.width))).collect()])
     cells = Boxes(project(sample, greatest), min(len(sample) // 4, -(-stats.n // VECTORS_IN_CELL)))
     cells.members = []
 
@@ -225,13 +225,16 @@ def nearest(rows: DataFrame, every: int = 20, neighbours: int = NEIGHBOURS, stop
             if not len(x):
                 continue
             points = project(np.stack(x["embedding"].to_list()), None)
-            own = cells.find(points)
-            for k, r in enumerate(x.itertuples(index=False)):
-                far = cells.distances(points[k])
-                to = np.flatnonzero(far < ratio * r.bound)
-                to = to[to != own[k]]
-                if len(to):
-                    yield pd.DataFrame({"h1": r.h1, "h2": r.h2, "cell": to, "block": r.block, "bound": r.bound, "embedding": [r.embedding] * len(to)})
+            own, bounds = cells.find(points), x["bound"].to_numpy()
+            at, to = [], []
+            for k in range(len(x)):
+                far = np.flatnonzero(cells.distances(points[k]) < ratio * bounds[k])
+                far = far[far != own[k]]
+                at.append(np.full(len(far), k))
+                to.append(far)
+            rows = x.iloc[np.concatenate(at)].copy()
+            rows["cell"] = np.concatenate(to)
+            yield rows[["h1", "h2", "cell", "block", "bound", "embedding"]]
 
     def visit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"h1": [], "h2": [], "vec_id": [], "score": []}
