@@ -23,6 +23,8 @@ EXACT = 1 << 11
 _BITS = 10
 #: Parts in which ranks are counted, so that no class or shard is numbered in one task.
 PARTS = 256
+#: Parts of what a task writes, within which rows are numbered: one group may fill a task.
+LANES = 16
 
 
 class RoomTree:
@@ -207,7 +209,7 @@ def fewest_shards(groups: list[tuple[str, int]], size: int) -> dict[str, int]:
 
 
 def _slots(rows: DataFrame) -> DataFrame:
-    """Gapless ``slot`` from 0 in each shard: counted by ``lane``, the task that wrote the row, then within each lane."""
+    """Gapless ``slot`` from 0 in each shard: counted by ``lane``, a part of what one task wrote, then within each lane."""
     each = Window.partitionBy("shard", "lane").orderBy("doc_id", "digest")
     before = Window.partitionBy("shard").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("shard", "lane").count().select("shard", "lane", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
@@ -226,5 +228,5 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     base = materialize(base, "sized")
     groups = base.groupBy("digest").agg(F.sum("size").alias("size"))
     placed = shard_groups(groups, shards)
-    rows = materialize(base.join(placed, "digest").withColumn("lane", F.spark_partition_id()), "placed")
+    rows = materialize(base.join(placed, "digest").withColumn("lane", F.spark_partition_id() * LANES + F.pmod(F.xxhash64("doc_id"), F.lit(LANES))), "placed")
     return _slots(rows).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
