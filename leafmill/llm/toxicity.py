@@ -165,9 +165,17 @@ def _stated() -> dict[bytes, tuple[str, float]]:
     return {w.encode(): (c, PRIOR_WEIGHT) for c, ws in lists for w in ws}
 
 
-def _copy_groups(sets: list[set[bytes]]) -> list[int]:
-    """A group number for each set of words: those that share one of eight least hashes of words count once, as copies do."""
-    group: list[int] = list(range(len(sets)))
+class _Numbers(dict):
+    """A number for each key, in the order of first use."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+def _copy_groups(own: list[np.ndarray], hashed: np.ndarray) -> np.ndarray:
+    """A group number for each document's words: those that share three least hashes of twelve count once, as copies do."""
+    group = list(range(len(own)))
 
     def root(i: int) -> int:
         while group[i] != i:
@@ -175,14 +183,14 @@ def _copy_groups(sets: list[set[bytes]]) -> list[int]:
         return i
 
     seen: dict[tuple, int] = {}
-    for i, words in enumerate(sets):
-        hashed = np.array([xxhash.xxh3_64_intdigest(w) for w in words] or [0], np.uint64)
-        least = [int((hashed * np.uint64(2 * k + 1) ^ hashed >> np.uint64(17 + k)).min()) for k in range(12)]
+    for i, words in enumerate(own):
+        h = hashed[words] if len(words) else np.zeros(1, np.uint64)
+        least = [int((h * np.uint64(2 * k + 1) ^ h >> np.uint64(17 + k)).min()) for k in range(12)]
         for k in range(0, 12, 3):
             j = seen.setdefault((k, *least[k : k + 3]), i)
             if root(i) != root(j):
                 group[root(i)] = root(j)
-    return [root(i) for i in range(len(sets))]
+    return np.array([root(i) for i in range(len(own))], np.int64)
 
 
 def _ratio(a: int, c: int, toxic: int, clean: int) -> float:
@@ -195,7 +203,7 @@ def _ratio(a: int, c: int, toxic: int, clean: int) -> float:
     return 2 * (fit(a, toxic, a / toxic) + fit(c, clean, c / clean) - fit(a, toxic, p) - fit(c, clean, p))
 
 
-def _proper(found: list[tuple], seen: dict[tuple[bool, bytes], set[int]]) -> list[tuple]:
+def _proper(found: list[tuple], total: dict[tuple[bool, bytes], int]) -> list[tuple]:
     """Without stems that stand for one learned word, and without those of which a longer one is found as often."""
     words = {w for _, _, stem, w in found if not stem}
     longest = {w: a for _, a, stem, w in found if stem}
@@ -203,54 +211,65 @@ def _proper(found: list[tuple], seen: dict[tuple[bool, bytes], set[int]]) -> lis
     for x in found:
         _, a, stem, w = x
         if stem:
-            most = max((len(seen[False, v]) for v in words if v.startswith(w)), default=0)
-            if most >= 0.8 * len(seen[True, w]) or any(b >= 0.95 * a for v, b in longest.items() if v != w and v.startswith(w)):
+            most = max((total[False, v] for v in words if v.startswith(w)), default=0)
+            if most >= 0.8 * total[True, w] or any(b >= 0.95 * a for v, b in longest.items() if v != w and v.startswith(w)):
                 continue
         out.append(x)
     return out
 
 
 def learn(rows: list[tuple[str, int]]) -> Model:
-    """Lexicon and coefficients from (text, label). Copies count once; without both labels the stated words alone are used."""
+    """Lexicon and coefficients from (text, label). Copies count once; without both labels the stated words alone are used.
+
+    Words and stems are numbers while they are counted, so the sample's texts
+    are what takes most room.
+    """
     stated = _stated()
-    sets = [set(words_of(t)) for t, _ in rows]
-    groups = _copy_groups(sets)
-    of_group: dict[int, int] = {}
-    seen: dict[tuple[bool, bytes], set[int]] = defaultdict(set)
-    for words, (_, y), g in zip(sets, rows, groups):
-        of_group[g] = max(y, of_group.get(g, 0))
-        for w in words:
-            seen[False, w].add(g)
-            for n in STEMS:
-                if len(w) > n:
-                    seen[True, w[:n]].add(g)
-    toxic = sum(of_group.values())
-    clean = len(of_group) - toxic
     default = Model(stated, {}, (-4.0, *(1.5 if "~" not in k and "^" not in k else 0.2 for k in KINDS), 2.0, 0.0))
+    label = np.array([y for _, y in rows], np.int64)
+    number, stem_number = _Numbers(), _Numbers()
+    own = [np.array(sorted({number[w] for w in words_of(t)}), np.int64) for t, _ in rows]
+    words = list(number)
+    groups = _copy_groups(own, np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64))
+    names, at = np.unique(groups, return_inverse=True)
+    toxic_group = np.zeros(len(names), np.int64)
+    np.maximum.at(toxic_group, at, label)
+    toxic = int(toxic_group.sum())
+    clean = len(names) - toxic
     if not toxic or not clean:
         return default
-    chance = LEAST_RATIO + 2 * math.log(len(seen))
-    found = []
-    for (stem, w), g in seen.items():
-        a = sum(of_group[x] for x in g)
-        if a < LEAST_SHARE * toxic:
-            continue
-        c = len(g) - a
+    stems = np.full((len(words), len(STEMS)), -1, np.int64)
+    for i, w in enumerate(words):
+        for k, n in enumerate(STEMS):
+            if len(w) > n:
+                stems[i, k] = stem_number[w[:n]]
+    counts = np.zeros((2, len(words) + len(stem_number)), np.int64)
+    members: dict[int, list[np.ndarray]] = defaultdict(list)
+    for g, ids in zip(at.tolist(), own):
+        members[g].append(ids)
+    for g, parts in members.items():
+        ids = np.unique(np.concatenate(parts))
+        found_stems = np.unique(stems[ids])
+        counts[toxic_group[g], np.concatenate([ids, found_stems[found_stems >= 0] + len(words)])] += 1
+    chance = LEAST_RATIO + 2 * math.log(max(2, counts.shape[1]))
+    keys = list(stem_number)
+    found, total = [], {}
+    for i in np.flatnonzero(counts[1] >= max(1.0, LEAST_SHARE * toxic)).tolist():
+        c, a = (int(x) for x in counts[:, i])
+        stem = i >= len(words)
+        w = keys[i - len(words)] if stem else words[i]
         odds = (a + 0.5) / (toxic - a + 0.5) / ((c + 0.5) / (clean - c + 0.5))
         if odds >= LEAST_ODDS and _ratio(a, c, toxic, clean) >= chance:
+            total[stem, w] = a + c
             found.append((math.log(odds), a, stem, w))
-    found = _proper(found, seen)
+    found = _proper(found, total)
     found = sorted(found, key=lambda x: (-x[1] * x[0], x[3]))[:MOST_ENTRIES]
-    words = stated | {w: (THREAT if stated.get(w, "")[:1] == (THREAT,) else INSULT, round(x, 4)) for x, _, stem, w in found if not stem}
-    stems = {w: (INSULT, round(x, 4)) for x, _, stem, w in found if stem}
-    if not words and not stems:
-        return default
-    scorer = Scorer(Model(words, stems, default.coefficients))
-    size: dict[int, int] = defaultdict(int)
-    for g in groups:
-        size[g] += 1
+    known = stated | {w: (THREAT if stated.get(w, "")[:1] == (THREAT,) else INSULT, round(x, 4)) for x, _, stem, w in found if not stem}
+    known_stems = {w: (INSULT, round(x, 4)) for x, _, stem, w in found if stem}
+    scorer = Scorer(Model(known, known_stems, default.coefficients))
+    size = np.bincount(at)[at]
     x = np.array([scorer.features(t) for t, _ in rows])
-    return Model(words, stems, _logistic(x, np.array([y for _, y in rows], float), np.array([1 / size[g] for g in groups])))
+    return Model(known, known_stems, _logistic(x, label.astype(float), 1 / size))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
