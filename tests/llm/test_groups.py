@@ -163,6 +163,34 @@ def test_line_dedup_against_all_pairs(spark):
     assert lines_kept(spark, docs) == want and gone
 
 
+def test_line_dedup_finds_all_short_pairs(spark):
+    """Pairs are chosen by edit similarity alone, whatever their hashes."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefgé", k=rng.randint(1, 6))) for _ in range(60)]
+    names = set()
+    for _ in range(40):
+        line = " ".join(rng.choices(vocabulary, k=rng.randint(4, 18)))
+        for _ in range(4):
+            near = list(line)
+            for _ in range(rng.randint(0, len(near) // 6)):
+                k = rng.randrange(len(near))
+                near[k : k + rng.randint(0, 1)] = rng.choices("abcx ", k=rng.randint(0, 1))
+            words = "".join(near).split()
+            if len(words) >= linededup.MIN_WORDS and len(" ".join(words)) <= linededup.REACH:
+                names.add(" ".join(words))
+    names, links = sorted(names), simhash.Links()
+    rng.shuffle(names)
+    for i, a in enumerate(names):
+        for j, b in enumerate(names[:i]):
+            if plain_distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
+                links.add(i, j)
+    want = [links.root(i) == i for i in range(len(names))]
+    got = lines_kept(spark, list(enumerate(names)), reach=linededup.REACH)
+    assert [got[i] != "" for i in range(len(names))] == want and sum(want) < len(names) - 40
+    digest = linededup.digest(spark.createDataFrame(list(enumerate(names)), "doc_id long, text string"))
+    assert {r.doc_id for r in digest.where("n_dropped = 0").collect()} == {i for i, w in enumerate(want) if w}
+
+
 def test_line_dedup_edges(spark, edge):
     out = together(linededup.deduplicate(edge), edge.columns)
     assert out.columns == edge.columns and out.count() == edge.count()
