@@ -1,5 +1,6 @@
 import random
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
@@ -191,6 +192,15 @@ def test_line_dedup_finds_all_short_pairs(spark):
     assert {r.doc_id for r in digest.where("n_dropped = 0").collect()} == {i for i, w in enumerate(want) if w}
 
 
+def test_line_dedup_of_few_words(spark):
+    rows = [(1, "Home\nabout us\n\nhome page 12"), (2, "HOME!\nabout  us\n\n---"), (3, "home page 34\nhome pages 1\n---\nhome")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {1: [], 2: [0, 1], 3: [0, 3]}
+    assert {r.doc_id: r.dropped for r in linededup.digest(docs).collect()} == want
+    texts = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
+    assert texts == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]) for i, t in rows}
+
+
 def test_line_dedup_edges(spark, edge):
     out = together(linededup.deduplicate(edge), edge.columns)
     assert out.columns == edge.columns and out.count() == edge.count()
