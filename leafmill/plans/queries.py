@@ -291,16 +291,16 @@ def stability_runs(spark, sf_dir):
 
 
 def _frames(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("value is not null")
+    e = table(spark, sf_dir, "events")
     corner = lambda dx, dy: F.struct((F.col("value") + dx).alias("x"), (F.col("value") + dy).alias("y"))
     return e.select(
-        F.col("user_id").cast("string").alias("camera"), "ts", F.col("event_id").alias("frame_id"), F.lit(1000.0).alias("width"), F.when(F.col("event_type") != "purchase", F.array(corner(0, 0), corner(900, 0), corner(900, 700), corner(0, 700))).alias("corners"), F.lit(0.9).alias("confidence")
+        F.col("user_id").cast("string").alias("camera"), "ts", F.col("event_id").alias("frame_id"), F.lit(1000.0).alias("width"), F.when((F.col("event_type") != "purchase") & F.col("value").isNotNull(), F.array(corner(0, 0), corner(900, 0), corner(900, 700), corner(0, 700))).alias("corners"), F.lit(0.9).alias("confidence"), F.col("value").isNotNull().alias("valued")
     )
 
 
 @query()
 def arm_events(spark, sf_dir):
-    return frames.stability(_frames(spark, sf_dir))
+    return frames.stability(_frames(spark, sf_dir).drop("valued"))
 
 
 @query("""
@@ -326,8 +326,8 @@ def debounced(spark, sf_dir):
 
 @query("SELECT user_id::VARCHAR AS camera, arg_min(event_id, (ts, event_id)) AS frame_id FROM events WHERE value IS NOT NULL GROUP BY user_id, epoch_us(ts) // 3600000000")
 def sampled_frames(spark, sf_dir):
-    """A camera is seen once an hour here."""
-    return frames.sampled(_frames(spark, sf_dir), "1 hour").select("camera", "frame_id")
+    """A camera is seen once an hour here; as in the SQL, events without a value are no frames."""
+    return frames.sampled(_frames(spark, sf_dir).where("valued").drop("valued"), "1 hour").select("camera", "frame_id")
 
 
 @query("SELECT code, array_to_string(list_sort(list_distinct(list_concat(l, ['urd']))), ' ') AS added, array_to_string(list_sort(list_filter(l, lambda x: x <> 'hin')), ' ') AS removed FROM (SELECT c_custkey AS code, CASE WHEN c_custkey % 2 = 0 THEN ['eng', 'hin'] ELSE ['urd'] END AS l FROM customer)")

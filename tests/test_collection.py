@@ -124,3 +124,13 @@ def test_geometry(spark, angle):
     assert [(p.x, p.y) for p in r.q] == points and (r.area, r.convex) == (50.0, True) and abs(r.angle - 90) < 1e-9
     assert (r["size"].width, r["size"].height) == (2400, 1200) and abs(r.meet.x - 3) < 1e-9 and abs(r.meet.y - 4) < 1e-9 and r.none is None
     assert r.page.pageWidth == 841.89 and abs(r.page.drawWidth - 841.89) < 1e-9 and (r.inset[2].x, r.inset[2].y) == (96.0, 48.0)
+
+
+def test_events_without_value_reset_the_count(spark, tmp_path):
+    from leafmill.plans.queries import QUERIES
+
+    rows = [(1, i, "view", v) for i, v in enumerate((5.0, 5.0, None, 5.0, 5.0))]
+    events = spark.createDataFrame(rows, "user_id long, event_id long, event_type string, value double")
+    events.selectExpr("*", "timestamp_seconds(event_id) AS ts").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.frame_id: r["count"] for r in QUERIES["arm_events"](spark, str(tmp_path)).collect()}
+    assert got == {0: 1, 1: 2, 2: 0, 3: 1, 4: 2}
