@@ -38,8 +38,8 @@ VECTORS_IN_CELL = 8_192
 LEAF = 256
 #: Query vectors that one task searches a cell for.
 QUERIES_IN_TASK = 16_384
-#: How many more than needed are kept, as the last digits of matrix products are not final.
-_SPARE = 12
+#: Inner products this near, or by this share of the squared lengths, may be equal: the last digits of matrix products are not final.
+_NEAR, _NEAR_SHARE = 1e-9, 1e-12
 
 
 def chi_square_cdf(x: np.ndarray) -> np.ndarray:
@@ -145,7 +145,8 @@ class Cell:
         at, product = np.array([], np.int64), np.array([])
         last, seen = bound, 0
         # what an inner product must reach to come within the bound
-        least = (length - last) / 2 - 1e-9
+        slack = max(_NEAR, _NEAR_SHARE * length)
+        least = (length - last) / 2 - slack
         for j in np.argsort(near, kind="stable"):
             if near[j] >= ratio * last:
                 break
@@ -156,12 +157,15 @@ class Cell:
             if not len(good):
                 continue
             at, product = np.append(at, start + good), np.append(product, found[good])
-            best = np.argsort(-product, kind="stable")[: most + _SPARE]
+            best = np.argsort(-product, kind="stable")
             at, product = at[best], product[best]
             enough = int(np.searchsorted(np.cumsum(self.weight[at]), most))
             if enough < len(product):
                 last = min(last, max(0.0, length - 2 * float(product[enough])))
-                least = (length - last) / 2 - 1e-9
+                least = (length - last) / 2 - slack
+                # all that may tie with the last one, however many: ids decide among them
+                close = product >= product[enough] - slack
+                at, product = at[close], product[close]
         exact = np.cumsum(self.vectors[at] * query, axis=1)[:, -1] if len(at) else product
         named = sorted((-s, i) for s, k in zip(exact.tolist(), at) for i in self.ids[k])[:most]
         return [(i, -s) for s, i in named], seen
