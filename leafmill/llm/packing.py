@@ -7,8 +7,9 @@ smallest, so gaps that many sequences share are the ones that get used up.
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -18,17 +19,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm._shared import materialize, text_of
-from leafmill.llm.bpe import tokenizer
+from leafmill.llm.bpe import _SPACE, tokenizer
 
 SEQUENCE = 1024
 END_ID = 2
 #: Pieces that one packing task holds: some 40 bytes each, and far more than there are gaps.
 PIECES_IN_TASK = 150_000
+#: White space of this length and more is encoded apart: the fast encoder's pattern fails on a million of it.
+LONG_SPACE = 100_000
 
 
-@lru_cache(maxsize=2)
-def _fast_encoder(path: str):
-    """The vocabulary as a rank-based encoder. It holds because each merge's rank is the order of its id."""
+@lru_cache(maxsize=4)
+def _fast_encoder(path: str, whole: bool = False):
+    """The vocabulary as a rank-based encoder, of texts or of ``whole`` pieces. It holds because each merge's rank is the order of its id."""
     bpe = tokenizer(path)
     special = set(bpe.special.values())
     ids = [x & 0xFFFFF for x in bpe.pair_of.values()]
@@ -36,10 +39,29 @@ def _fast_encoder(path: str):
     if [i for _, i in sorted(zip(ranks, ids))] != sorted(ids):
         raise ValueError("the merges of this vocabulary aren't in the order of their ids")
     # Fixed value: the pre-tokeniser pattern of the vocabulary files.
-    pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    pattern = r"(?s).+" if whole else r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     return tiktoken.Encoding("json", pat_str=pattern, mergeable_ranks={b: i for i, b in enumerate(bpe.bytes_of) if i not in special}, special_tokens=bpe.special)
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Callable[[str], np.ndarray]:
+    """Text -> ids, for any text. A long run of white space is one piece but for its last character, which what follows may take."""
+    fast, piece = _fast_encoder(path).encode_to_numpy, _fast_encoder(path, True).encode_to_numpy
+    long_space = re.compile(rf"[{_SPACE}]{{{LONG_SPACE},}}")
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) < LONG_SPACE:
+            return fast(text, allowed_special="all")
+        out, at = [], 0
+        for m in long_space.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            out += [fast(text[at : m.start()], allowed_special="all"), piece(text[m.start() : end])]
+            at = end
+        return np.concatenate([*out, fast(text[at:], allowed_special="all")])
+
+    return encode
+
+
 def pieces(docs: DataFrame, path: str, length: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)``: documents with their end id, cut only if longer than ``length``.
 
@@ -48,11 +70,11 @@ def pieces(docs: DataFrame, path: str, length: int = SEQUENCE, end_id: int = END
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _fast_encoder(path).encode_to_numpy
+        encode = encoder(path)
         for x in batches:
             rows = []
             for i, text in zip(x["doc_id"], x["text"]):
-                ids = np.append(encode(text, allowed_special="all"), end_id).astype("<u4")
+                ids = np.append(encode(text), end_id).astype("<u4")
                 first = len(ids) % length or min(length, len(ids))
                 cuts = [0, *range(first, len(ids) + 1, length)]
                 rows += [(i, k, a, b - a, zlib.crc32(ids[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]

@@ -32,6 +32,19 @@ def test_ids_are_the_library_s(vocabulary, library):
         assert fast.encode_to_numpy(x, allowed_special="all").tolist() == want.tolist(), repr(x)
 
 
+def test_very_long_runs(spark, vocabulary, library):
+    """Two million of one character, alone and between words: the fast encoder's own pattern fails on such white space."""
+    runs = [x * 2_000_000 for x in (" ", "\n", "\xa0", " \n", "a", "👍")]
+    some = [*runs, f"word{runs[0]}word{runs[1]}", f"{runs[0]}<|endoftext|>{runs[1]}'s", f"{runs[2]}\x1c"]
+    fast = packing.encoder(vocabulary)
+    for x in some:
+        assert fast(x).tolist() == library(x).tolist(), (x[:5], x[-5:])
+    docs = spark.createDataFrame([(0, runs[0]), (1, f"word{runs[0]}word"), (2, runs[1][:300_000])], "doc_id long, text string")
+    pieces = packing.pack(packing.pieces(docs, vocabulary)).groupBy("doc_id").sum("length").collect()
+    tokens = {r.doc_id: r.n_tokens for r in bpe.round_trip(docs, vocabulary).collect()}
+    assert {r[0]: r[1] - 1 for r in pieces} == tokens == {0: 2_000_000, 1: 2_000_002, 2: 150_000}
+
+
 def test_decoding_parts_of_characters(vocabulary):
     t, own = Tokenizer.from_file(vocabulary), bpe.tokenizer(vocabulary)
     rng = random.Random(2)
