@@ -2,7 +2,8 @@
 
 Each round only aggregates and joins on node ids, so no component, however
 large, is gathered in one task: minima are pre-aggregated before the shuffle
-and the joins are plain equi-joins that adaptive execution can split.
+and written, so the join that deals a star's rows by its centre meets two plain
+shuffles, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -30,13 +31,14 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         star = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         after = materialize(star.distinct(), "edges")
         discard(now)
+        discard(least)
         now, before, mark = after, mark, _mark(after)
         if mark == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -199,7 +199,7 @@ def near_groups(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     roots = connected_components(fingerprint_links(nodes.select("fingerprint"), distance))
     joined = nodes.join(roots, nodes.fingerprint == roots.node, "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     joined = materialize(joined, "rooted")
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = materialize(joined.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     return joined.join(least, "root").select("fingerprint", "root", "component_id")
 
 

@@ -129,39 +129,96 @@ def test_line_dedup(spark):
     assert got == {1: f"{b}\nshort line", 2: f"short line\n{c}", 3: "", 4: None, 5: ""}
 
 
-def test_line_dedup_against_all_pairs(spark):
+def close_lines(names, least=0):
+    """Components of all pairs by plain edit distance that have ``least`` keys in common."""
+    links = simhash.Links()
+    n, keys = linededup.keys_of([x.encode().split() for x in names])
+    each = [set(k.tolist()) for k in np.split(keys, np.cumsum(n)[:-1])]
+    for i, a in enumerate(names):
+        for j, b in enumerate(names[:i]):
+            most = int(0.2 * max(len(a), len(b)) + 1e-9)
+            if abs(len(a) - len(b)) <= most and len(each[i] & each[j]) >= least and linededup._bit_parallel(a, b) <= most:
+                links.add(i, j)
+    return [links.root(i) for i in range(len(names))]
+
+
+@pytest.mark.parametrize("star", [512, 8])
+def test_line_dedup_against_all_pairs(spark, monkeypatch, star):
+    """Lines with one word changed, repeatedly: chains, groups of many and lines that share words but aren't similar."""
+    monkeypatch.setattr(linededup, "STAR", star)
     rng = random.Random(6)
     vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(60)]
-    lines = [[rng.choice(vocabulary) for _ in range(rng.randint(4, 30))] for _ in range(40)]
-    docs = []
-    for i in range(60):
-        own = []
-        for _ in range(rng.randint(0, 6)):
-            words = list(rng.choice(lines))
-            for _ in range(rng.choice([0, 0, 1, 2])):
-                words[rng.randrange(len(words))] = rng.choice(vocabulary)
-            own.append(" ".join(words))
-        docs.append((i, "\n".join(own)))
-    place = {}
-    for i, t in docs:
-        for k, words in enumerate(linededup.normalised_lines(t)):
-            if len(words) >= linededup.MIN_WORDS:
-                place.setdefault(b" ".join(words).decode(), []).append((i, k))
-    names = list(place)
-    h, links = linededup.simhashes([x.encode().split() for x in names]), simhash.Links()
-    low = np.cumsum([0, *linededup.BLOCKS])
-    for i in range(len(names)):
-        for j in range(i):
-            differ = int(h[i] ^ h[j])
-            alike = sum((differ >> int(low[b]) & (1 << w) - 1) == 0 for b, w in enumerate(linededup.BLOCKS))
-            if differ.bit_count() <= linededup.HAMMING and alike >= 2 and linededup.similar(names[i], names[j]):
-                links.add(i, j)
-    keep = {}
-    for i, x in enumerate(names):
-        keep[links.root(i)] = min([keep.get(links.root(i), (99, 0)), *place[x]])
-    gone = {p for i, x in enumerate(names) for p in place[x] if p != keep[links.root(i)]}
-    want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in docs}
-    assert lines_kept(spark, docs) == want and gone
+    names = set()
+    for n in (4, 5, 9, 14, 30, 90, 140):
+        for _ in range(3):
+            words = rng.choices(vocabulary, k=n)
+            for _ in range(14):
+                words = list(words) if rng.random() < 0.6 else rng.choices(vocabulary, k=n // 2) + words[n // 2 :]
+                k = rng.randrange(len(words))
+                words[k : k + rng.randint(0, 1)] = [rng.choice(vocabulary)]
+                names.add(" ".join(words))
+    names = rng.sample(sorted(names), len(names))
+    roots, whole = close_lines(names, 1), close_lines(names)
+    got = lines_kept(spark, list(enumerate(names)))
+    assert [got[i] != "" for i in range(len(names))] == [r == i for i, r in enumerate(roots)]
+    # of what all pairs would remove, whether they meet or not
+    assert len(names) - len(set(roots)) >= 0.95 * (len(names) - len(set(whole))) > len(names) // 3
+
+
+def changed(rng, line, kind):
+    words = line.split()
+    if kind == "letter":
+        k = rng.randrange(len(line))
+        return " ".join((line[:k] + rng.choice("xqz") + line[k + 1 :]).split())
+    if kind == "word":
+        words.insert(rng.randint(0, len(words)), rng.choice(words))
+    else:
+        for k in rng.sample(range(len(words)), len(words) // 10 or 1):
+            words[k] = words[k][::-1] + "y"
+    return " ".join(words)
+
+
+def test_lines_meet(spark):
+    """Of lines within the similarity, the share that has a key in common, by length and change; texts as in the test tables."""
+    import duckdb
+
+    texts = duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL ORDER BY doc_id").fetchall()
+    lines = sorted({b" ".join(w).decode() for (t,) in texts for w in linededup.normalised_lines(t) if len(w) >= 4})
+    rng, least = random.Random(7), {}
+    for low, high in ((4, 7), (8, 12), (13, 20), (21, 40), (41, 80), (81, 200), (201, 10**6)):
+        own = [x for x in lines if low <= len(x.split()) <= high]
+        for kind in ("letter", "word", "tenth"):
+            pairs = [(x, changed(rng, x, kind)) for x in rng.sample(own, min(200, len(own)))]
+            pairs = [(a, b) for a, b in pairs if linededup._bit_parallel(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)]
+            n, keys = linededup.keys_of([x.encode().split() for pair in pairs for x in pair])
+            each = [set(k.tolist()) for k in np.split(keys, np.cumsum(n)[:-1])]
+            least[low, kind] = sum(bool(each[i] & each[i + 1]) for i in range(0, len(each), 2)) / len(pairs)
+    assert min(least.values()) >= 0.9, least
+
+
+def test_unlike_lines_of_one_key_are_compared_fast():
+    import time
+
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcdefgh ijklmnop", k=120)) for _ in range(400)]
+    texts[399] = texts[200][:60] + "xyz" + texts[200][60:]
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * 400), pa.array([0] + [1] * 399), pa.array(range(400)), pa.array(texts)], ["g", "side", "node", "text"])
+    start = time.time()
+    (out,) = linededup._compared(iter([batch]), 0.8)
+    assert [tuple(sorted(p)) for p in zip(*out.to_pydict().values()) if p[1] is not None] == [(200, 399)] and time.time() - start < 2
+
+
+def test_simhashes():
+    rng = np.random.default_rng(4)
+    sizes = np.concatenate([rng.integers(0, 9, 200), rng.integers(0, 90, 40), [0, 1, 64, 65, 1000]])
+    hashed = rng.integers(0, 1 << 64, int(sizes.sum()), np.uint64)
+    got, at = linededup.simhashes(hashed, sizes), 0
+    for n, x in zip(sizes, got):
+        own = [int(h) for h in hashed[at : at + n]]
+        at += n
+        assert int(x) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > len(own))
 
 
 def test_line_dedup_finds_all_short_pairs(spark):
