@@ -28,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-equal lines one stays. A document of which nothing stays keeps its row, with an empty text."""
-    return _counted(together(linededup.deduplicate(docs, reach=linededup.REACH, exact_words=linededup.EXACT_WORDS), docs.columns))
+    return _counted(together(linededup.deduplicate(docs, exact_words=linededup.EXACT_WORDS), docs.columns))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
