@@ -204,7 +204,7 @@ def test_unlike_lines_of_one_key_are_compared_fast():
     rng = random.Random(9)
     texts = ["".join(rng.choices("abcdefgh ijklmnop", k=120)) for _ in range(400)]
     texts[399] = texts[200][:60] + "xyz" + texts[200][60:]
-    batch = pa.RecordBatch.from_arrays([pa.array([7] * 400), pa.array([0] + [1] * 399), pa.array(range(400)), pa.array(texts)], ["g", "side", "node", "text"])
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * 400), pa.array([0] + [1] * 399), pa.array(range(400)), pa.array(texts), pa.array([[]] + [[1, 2]] * 399, pa.list_(pa.int64()))], ["g", "side", "node", "text", "keys"])
     start = time.time()
     (out,) = linededup._compared(iter([batch]), 0.8)
     assert [tuple(sorted(p)) for p in zip(*out.to_pydict().values()) if p[1] is not None] == [(200, 399)] and time.time() - start < 2
