@@ -107,6 +107,9 @@ def test_edit_distance():
         b, most = "".join(b), rng.randint(0, 9)
         d = plain_distance(a, b)
         assert linededup.edit_distance(a, b, most) == min(d, most + 1)
+        long = "".join(rng.choices("abcd ", k=300))
+        near = "".join(c for c in long if rng.random() < 0.9)
+        assert rng.random() < 0.95 or linededup.edit_distance(long, near, most * 8) == min(plain_distance(long, near), most * 8 + 1)
         if a and b:
             assert linededup._bit_parallel(a, b) == d and min(linededup._diagonals(a, b, most), most + 1) == min(d, most + 1)
         a, b = " ".join(a.split()), " ".join(b.split())
@@ -210,6 +213,21 @@ def test_unlike_lines_of_one_key_are_compared_fast():
     assert [tuple(sorted(p)) for p in zip(*out.to_pydict().values()) if p[1] is not None] == [(200, 399)] and time.time() - start < 2
 
 
+def test_words_and_their_hashes(monkeypatch):
+    rng = random.Random(3)
+    texts = ["", "\n", "a", "A b\n\nc1-d", " x  y\n", *("".join(rng.choices("ab c\né\t", k=rng.randint(0, 60))) for _ in range(300)), "long" * 40]
+    whole = {}
+    for size in (1 << 20, 7):
+        monkeypatch.setattr(linededup, "_BYTES_AT_ONCE", size)
+        for t in texts:
+            line, n, h, g = linededup.words_of(linededup.plain_text(t))
+            words = [(k, w) for k, ws in enumerate(linededup.normalised_lines(t)) for w in ws]
+            assert list(zip(line, n)) == [(k, len(w)) for k, w in words]
+            for (_, w), *both in zip(words, h.tolist(), g.tolist()):
+                assert whole.setdefault(w, both) == both
+    assert len({x for x, _ in whole.values()}) == len({y for _, y in whole.values()}) == len(whole)
+
+
 def test_simhashes():
     rng = np.random.default_rng(4)
     sizes = np.concatenate([rng.integers(0, 9, 200), rng.integers(0, 90, 40), [0, 1, 64, 65, 1000]])
