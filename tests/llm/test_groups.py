@@ -199,6 +199,23 @@ def test_lines_meet(spark):
     assert min(least.values()) >= 0.9, least
 
 
+@pytest.mark.parametrize("run", [1 << 16, 3])
+def test_stars(monkeypatch, run):
+    import pyarrow as pa
+
+    monkeypatch.setattr(linededup, "_RUN", run)
+    rng = random.Random(5)
+    rows = sorted(((rng.choice([1, 2, 2, 2, 3, 4, 9, 9]), rng.randrange(40)) for _ in range(300)), key=lambda r: r[0])
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[k : k + 7])], ["key", "k"]) for k in range(0, len(rows), 7)]
+    links = simhash.Links()
+    for out in linededup._stars(iter(batches)):
+        for c, k, key in zip(*out.to_pydict().values()):
+            assert (key, c) in rows and (key, k) in rows and c != k
+            links.add(key * 100 + c, key * 100 + k)
+    for key in {r[0] for r in rows}:
+        assert len({links.root(key * 100 + k) for own, k in rows if own == key}) == 1
+
+
 def test_unlike_lines_of_one_key_are_compared_fast():
     import time
 
