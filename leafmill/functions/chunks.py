@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,7 +16,9 @@ from leafmill.functions.text import translation_key
 LIMIT = 450
 # Ends of sentences.
 ENDS = ("। ", ". ", "? ", "! ")
+_A_BLANK, _SENTENCE_END = re.compile(" "), re.compile("|".join(map(re.escape, ENDS)))
 _BLANK = "\t\n\v\f\r                 　  ﻿"
+_BLANK_LINES, _FILLED_LINES = re.compile(rf"^[{_BLANK}]+$".replace("\n", ""), re.MULTILINE), re.compile(r"^[^\n]+$", re.MULTILINE)
 
 
 def chunk_text(text: str | None, limit: int = LIMIT) -> list[str]:
@@ -22,38 +26,35 @@ def chunk_text(text: str | None, limit: int = LIMIT) -> list[str]:
 
     As a cut takes the character that it ends at, a piece without any blank has
     one more than ``limit``. Blank lines stay as line feeds within a chunk.
-    """
-    chunks: list[str] = []
-    own = ""
 
-    def close() -> None:
+    Chunks are slices: blank lines are emptied first, then each chunk reaches
+    from where the last one ended to the furthest place that may end it.
+    """
+    whole = _BLANK_LINES.sub("", text or "")
+    lines = [m.span() for m in _FILLED_LINES.finditer(whole)]
+    begins, ends = [x for x, _ in lines], [x for _, x in lines]
+    # the first character of what may end a piece of a long line, best kind first, and how many more it needs
+    places = [([m.start() for m in p.finditer(whole)], more) for p, more in ((_SENTENCE_END, 1), (_A_BLANK, 0))]
+    chunks, at = [], begins[0] if lines else len(whole)
+    while at < len(whole):
+        line = bisect_right(begins, at) - 1
+        if ends[line] - at <= limit:
+            after = bisect_right(ends, at + limit)
+            to = begins[after] - 1 if after < len(lines) else len(whole)
+            own, at = whole[at:to], to + 1
+        else:
+            last = (found[k] for found, more in places if (k := bisect_right(found, at + limit - 1 - more) - 1) >= 0 and found[k] >= at + limit * 0.4)
+            to = next(last, at + limit) + 1
+            own, at = whole[at:to].strip(_BLANK), to
+            if at == ends[line]:
+                at = begins[line + 1] if line + 1 < len(lines) else len(whole)
+            chunks.append(own)
+            continue
         if own.strip(_BLANK):
             chunks.append(own)
-
-    for line in (text or "").split("\n"):
-        if not line.strip(_BLANK):
-            own += "\n" if own else ""
-        elif len(own) + len(line) < limit:
-            own = f"{own}\n{line}" if own else line
-        else:
-            close()
-            while len(line) > limit:
-                at = _cut(line[:limit], limit)
-                chunks.append(line[: at + 1].strip(_BLANK))
-                line = line[at + 1 :]
-            own = line
-    close()
     return chunks
 
 
-def _cut(window: str, limit: int) -> int:
-    least = limit * 0.4
-    for at in (max(window.rfind(e) for e in ENDS), window.rfind(" ")):
-        if at >= least:
-            return at
-    return limit
-
-
 @F.pandas_udf(ArrayType(StringType()))
 def chunks(text: pd.Series) -> pd.Series:
     return text.map(chunk_text)

@@ -54,6 +54,11 @@ KINDS = (
 BY_TYPE = {k.type: k for k in KINDS}
 
 
+#: The same for Python, where ASCII word edges have a short and fast form; with what each kind can't do without.
+_COMPILED = [(order, k, re.compile(k.pattern.replace(_L, r"\b"), re.ASCII | (re.IGNORECASE if k.any_case else 0)), {"email": "@", "upi": "@"}.get(k.type)) for order, k in enumerate(KINDS)]
+_digit = re.compile("[0-9]").search
+
+
 def _java(kind: Kind) -> str:
     """ASCII case only, in both engines."""
     return f"(?i:{kind.pattern})" if kind.any_case else kind.pattern
@@ -90,9 +95,11 @@ def resolve(text: str | None) -> list[dict]:
     """Entities of a text by place: the longest first, then the higher priority, then the order of kinds and places; none overlaps another."""
     if not text:
         return []
-    found = []
-    for order, k in enumerate(KINDS):
-        for m in re.finditer(k.pattern, text, re.ASCII | (re.IGNORECASE if k.any_case else 0)):
+    found, digits = [], _digit(text) is not None
+    for order, k, pattern, needs in _COMPILED:
+        if needs not in text if needs else k.type != "url" and not digits:
+            continue
+        for m in pattern.finditer(text):
             if k.type != "aadhaar" or _checked(m.group()):
                 found.append((m.start() - m.end(), -k.priority, order, m.start(), m.end(), m.group()))
     # what is taken never overlaps, so only the neighbours of a place need a look

@@ -52,15 +52,19 @@ def script_name(key: Column | str) -> Column:
 
 
 def script_counts(text: Column | str) -> Column:
-    """``array<struct<n, script>>`` of the scripts that occur, in the order of their first characters."""
+    """``array<struct<n, script>>`` of the scripts that occur, in the order of their first characters.
+
+    Most texts have Latin letters alone: one test decides whether the others are counted.
+    """
     t = F.coalesce(_text(text), F.lit(""))
-    found = []
+    found = {}
     for key, _, ranges in SCRIPTS:
         own = f"[{_class(ranges)}]"
         n = F.regexp_count(t, F.lit(own))
         first = F.length(F.regexp_extract(t, f"(?s)\\A[^{_class(ranges)}]*", 0))
-        found.append(F.when(n > 0, F.struct(first.alias("first"), n.alias("n"), F.lit(key).alias("script"))))
-    return F.transform(F.array_sort(F.array_compact(F.array(*found))), lambda s: F.struct(s["n"].alias("n"), s["script"].alias("script")))
+        found[key] = F.when(n > 0, F.struct(first.alias("first"), n.alias("n"), F.lit(key).alias("script")))
+    some = F.when(has_indic_text(t), F.array(*found.values())).otherwise(F.array(found["latin"]))
+    return F.transform(F.array_sort(F.array_compact(some)), lambda s: F.struct(s["n"].alias("n"), s["script"].alias("script")))
 
 
 def _most(counts: Column) -> Column:

@@ -29,7 +29,7 @@ def words(spark: SparkSession, sf_dir: str, salt: str = "-") -> DataFrame:
 def words_sql(name: str, salt: str = "-") -> str:
     return f"""{name}_t AS (SELECT doc_id AS page_id, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS idx FROM (SELECT doc_id, string_split_regex(text, '[ \\n]') AS l FROM documents)),
 {name}_h AS (SELECT *, ('0x' || substr(md5(page_id || '{salt}' || idx), 1, 2))::INT AS h FROM {name}_t),
-{name} AS (SELECT page_id, idx, text, h / 2.55::DOUBLE AS confidence, (idx % 12 * 80 + h % 30)::DOUBLE AS x0, (idx // 12 * 30 + h % 5)::DOUBLE AS y0, (idx % 12 * 80 + h % 30)::DOUBLE + 60 AS x1, (idx // 12 * 30 + h % 5)::DOUBLE + 20 AS y1 FROM {name}_h)"""
+{name} AS MATERIALIZED (SELECT page_id, idx, text, h / 2.55::DOUBLE AS confidence, (idx % 12 * 80 + h % 30)::DOUBLE AS x0, (idx // 12 * 30 + h % 5)::DOUBLE AS y0, (idx % 12 * 80 + h % 30)::DOUBLE + 60 AS x1, (idx // 12 * 30 + h % 5)::DOUBLE + 20 AS y1 FROM {name}_h)"""
 
 
 def quads(spark: SparkSession, sf_dir: str) -> DataFrame:

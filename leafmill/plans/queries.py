@@ -106,18 +106,26 @@ def settings_upsert(spark, sf_dir):
     return store.set_settings(spark.createDataFrame([], schemas.SETTINGS), rows)
 
 
-@query("SELECT source, count(*) AS pages, count(*) FILTER (WHERE r) AS read, bool_or(r) AS any_read, bool_and(r) AS all_read FROM (SELECT d.source, l.doc_id IS NOT NULL AS r FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)) GROUP BY source")
+# Texts of white space and of nothing, by number of the page.
+_BLANK_PAGES = ("\n\n", "  ", "\t\r\n", "\u3000", "\u00a0", "", " x ")
+_BLANK_SQL = "(VALUES " + ", ".join(f"({i}, {' || '.join(f'chr({ord(c)})' for c in t) or chr(39) * 2})" for i, t in enumerate(_BLANK_PAGES)) + ") p(turn, text)"
+
+
+@query(f"""SELECT source, count(*) AS pages, count(*) FILTER (WHERE r) AS read, bool_or(r) AS any_read, bool_and(r) AS all_read
+FROM (SELECT source, regexp_matches(coalesce(text, ''), '[^\\t-\\r \\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{feff}}]') AS r
+FROM (SELECT source, text FROM documents UNION ALL SELECT 'blank', text FROM {_BLANK_SQL} UNION ALL SELECT 'unread', NULL)) GROUP BY source""")
 def read_status(spark, sf_dir):
-    """Labelled documents count as read ones."""
-    labels = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("text", F.lit("read"))
-    pages = table(spark, sf_dir, "documents").drop("text").join(labels, "doc_id", "left").withColumnRenamed("source", "docId")
-    return store.read_status(pages).withColumnRenamed("docId", "source")
+    """Besides the documents, pages of white space and one without a text."""
+    more = spark.createDataFrame([("blank", t) for t in _BLANK_PAGES] + [("unread", None)], "source string, text string")
+    pages = table(spark, sf_dir, "documents").select("source", "text").unionByName(more)
+    return store.read_status(pages.withColumnRenamed("source", "docId")).withColumnRenamed("docId", "source")
 
 
-@query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
+@query(f"SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT -1, turn, text FROM {_BLANK_SQL} UNION ALL SELECT -2, 0, '') WHERE text <> '' GROUP BY conv_id")
 def export_text(spark, sf_dir):
     _, pages = conversations_as_documents(spark, sf_dir)
-    return store.export_text(pages).withColumnRenamed("docId", "conv_id")
+    more = spark.createDataFrame([(-1, i, t) for i, t in enumerate(_BLANK_PAGES)] + [(-2, 0, "")], "docId long, index long, text string")
+    return store.export_text(pages.select("docId", "index", "text").unionByName(more)).withColumnRenamed("docId", "conv_id")
 
 
 @query("SELECT sum(strlen(html))::BIGINT AS usage, 100000000::BIGINT AS quota, least(100.0, sum(strlen(html)) / 100000000.0::DOUBLE * 100) AS percent FROM pages")
@@ -176,7 +184,37 @@ _entity("entity_email", "email", r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{
 _entity("entity_phone", "phone", r"(?:\+91[-\s]?|\b0)?[6-9][0-9]{4}[-\s]?[0-9]{5}\b", "documents", "doc_id", "text")
 _entity("entity_date", "date", r"(?i)\b(?:[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}|[0-9]{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+[0-9]{2,4})\b", "documents", "doc_id", "text")
 _entity("entity_url", "url", r"""(?i)\b(?:https?://|www\.)[^\s<>"'')\]]+""", "pages", "page_id", "html")
-_entity("entity_pincode", "pincode", r"\b[1-9][0-9]{5}\b", "pages", "page_id", "html")
+
+
+def _made(spark, sf_dir):
+    """``(o_orderkey, text)``: numbers of an order as those of Indian documents; every third has a letter before them, so that no word begins there."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    digits = lambda c, n: F.lpad((c % 10**n).cast("string"), n, "0")
+    parts = ["pay", F.concat(F.lit("user"), key, F.lit("@okaxis")), F.concat(F.lit("ABCDE"), digits(cust, 4), F.lit("F")), F.concat(F.lit("27ABCDE"), digits(cust, 4), F.lit("F1Z"), key % 10), F.concat(F.lit("HDFC0"), digits(key, 6)), (F.lit(200000000000) + key * 7919 + cust).cast("string"), F.concat(F.lit("MH "), digits(key, 2), F.lit("-AB "), digits(cust, 4)), F.concat(F.lit("Rs. "), cust, F.lit(",000.50")), (F.lit(400000) + key % 100000).cast("string"), "end"]
+    gap = F.when(key % 3 == 0, " x").otherwise(" ")
+    text_ = F.concat(*(y for x in parts for y in (F.lit(x) if isinstance(x, str) else x, gap)))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text_.alias("text"))
+
+
+_MADE_PARTS = ["'pay'", "'user' || o_orderkey || '@okaxis'", "'ABCDE' || lpad((o_custkey % 10000)::VARCHAR, 4, '0') || 'F'", "'27ABCDE' || lpad((o_custkey % 10000)::VARCHAR, 4, '0') || 'F1Z' || (o_orderkey % 10)", "'HDFC0' || lpad((o_orderkey % 1000000)::VARCHAR, 6, '0')", "(200000000000 + o_orderkey * 7919 + o_custkey)::VARCHAR", "'MH ' || lpad((o_orderkey % 100)::VARCHAR, 2, '0') || '-AB ' || lpad((o_custkey % 10000)::VARCHAR, 4, '0')", "'Rs. ' || o_custkey || ',000.50'", "(400000 + o_orderkey % 100000)::VARCHAR", "'end'"]
+_MADE_SQL = "(SELECT o_orderkey, " + " || ".join(f"{x} || g" for x in _MADE_PARTS) + " AS text FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN ' x' ELSE ' ' END AS g FROM orders))"
+
+
+def _made_entity(type: str, pattern: str, check: str = "TRUE") -> None:
+    def run(spark, sf_dir):
+        return _made(spark, sf_dir).select("o_orderkey", F.explode(entities.values(F.col("text"), type)).alias("value"))
+
+    run.__name__ = f"entity_{type}"
+    query(f"SELECT o_orderkey, value FROM (SELECT o_orderkey, unnest(regexp_extract_all(text, '{pattern}')) AS value FROM {_MADE_SQL}) WHERE {check}")(run)
+
+
+_made_entity("upi", rf"(?i)\b[a-zA-Z0-9._-]{{2,}}@(?:{'|'.join(entities.HANDLES)})\b")
+_made_entity("pan", r"\b[A-Z]{5}[0-9]{4}[A-Z]\b")
+_made_entity("gstin", r"\b[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][A-Z0-9]Z[A-Z0-9]\b")
+_made_entity("ifsc", r"\b[A-Z]{4}0[A-Z0-9]{6}\b")
+_made_entity("vehicle", r"\b[A-Z]{2}[-\s]?[0-9]{1,2}[-\s]?[A-Z]{1,3}[-\s]?[0-9]{4}\b")
+_made_entity("amount", r"(?i)(?:₹|\bRs\.?|\bINR)\s?[0-9][0-9,]*(?:\.[0-9]{1,2})?\b")
+_made_entity("pincode", r"\b[1-9][0-9]{5}\b")
 
 
 @query()
@@ -203,6 +241,10 @@ def verhoeff_check(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", value.alias("value"), text.verhoeff_valid(value).alias("valid"))
 
 
+_VALID_SQL = f"list_reduce(list_transform(range(0, 13), lambda i: CASE WHEN i = 0 THEN 0 ELSE i - 1 + 100 * substr(value, (13 - i)::INT, 1)::INT END), lambda c, x: ({_D})[c * 10 + ({_P})[(x % 100) % 8 * 10 + x // 100 + 1] + 1]) = 0"
+_made_entity("aadhaar", r"\b[2-9][0-9]{3}[-\s]?[0-9]{4}[-\s]?[0-9]{4}\b", _VALID_SQL)
+
+
 @query("SELECT page_id, CASE WHEN regexp_matches(url, '^(?i:upi://)') THEN 'upi' WHEN regexp_matches(url, '^(?i:(https?:)?//)') THEN 'url' WHEN regexp_matches(url, '^(?i:wifi:)') THEN 'wifi' WHEN regexp_matches(url, '^(?i:begin:vcard)') THEN 'contact' WHEN regexp_matches(url, '^(?i:tel:)') THEN 'phone' WHEN regexp_matches(url, '^(?i:mailto:)') THEN 'email' ELSE 'text' END AS kind, url AS value FROM pages")
 def payload_kind(spark, sf_dir):
     parsed = table(spark, sf_dir, "pages").select("page_id", payload.parse_code_value(F.col("url")).alias("p"))
@@ -236,7 +278,7 @@ def document_confidence(spark, sf_dir):
 
 
 _IOU_SQL = """p AS (SELECT a.page_id, a.idx AS a_idx, b.idx AS b_idx, least(a.x1, b.x1) - greatest(a.x0, b.x0) AS iw, least(a.y1, b.y1) - greatest(a.y0, b.y0) AS ih, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS s, b.text, b.confidence FROM a JOIN b ON a.page_id = b.page_id AND a.idx // 12 = b.idx // 12 AND abs(a.idx - b.idx) < 2),
-c AS (SELECT page_id, a_idx, b_idx, iw * ih / (s - iw * ih) AS iou FROM p WHERE iw > 0 AND ih > 0 AND iw * ih / (s - iw * ih) > 0.35)"""
+c AS MATERIALIZED (SELECT page_id, a_idx, b_idx, iw * ih / (s - iw * ih) AS iou FROM p WHERE iw > 0 AND ih > 0 AND iw * ih / (s - iw * ih) > 0.35)"""
 
 
 @query(f"WITH {words_sql('a')}, {words_sql('b', '=')}, {_IOU_SQL} SELECT page_id, a_idx, b_idx, round(iou, 9) AS iou FROM c")
@@ -247,9 +289,8 @@ def iou_candidates(spark, sf_dir):
 
 @query(f"""
 WITH {words_sql('a')}, {words_sql('b', '=')}, {_IOU_SQL}
-SELECT page_id, idx, text FROM b WHERE confidence >= 60 AND regexp_matches(text, '^[ -~\\x{{a0}}-\\x{{24f}}\\x{{2010}}-\\x{{201f}}\\x{{20b9}}]*$')
+SELECT page_id, idx, text FROM b ANTI JOIN c ON c.page_id = b.page_id AND c.b_idx = b.idx WHERE confidence >= 60 AND regexp_matches(text, '^[ -~\\x{{a0}}-\\x{{24f}}\\x{{2010}}-\\x{{201f}}\\x{{20b9}}]*$')
 AND NOT (len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}\\p{{M}}]')) = 0 OR (length(text) > 3 AND len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}\\p{{M}}]')) / length(text) < 0.5))
-AND NOT EXISTS (SELECT 1 FROM c WHERE c.page_id = b.page_id AND c.b_idx = b.idx)
 """)
 def recovered_words(spark, sf_dir):
     return words.recovered(derived_words(spark, sf_dir), derived_words(spark, sf_dir, "=")).select("page_id", "idx", "text")
@@ -398,10 +439,17 @@ def cid_inventory(spark, sf_dir):
     return pdf.cid_inventory(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query("SELECT doc_id, CASE WHEN n_chars = 0 THEN '0 B' WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.1f KB', round(n_chars / 1024.0::DOUBLE, 1)) END AS size, trim(left(trim(regexp_replace(text, '[^A-Za-z0-9_\\x{900}-\\x{dff} -]+', '', 'g')), 60)) AS name FROM documents WHERE n_chars < 1048576 AND n_chars > 61")
+def _bytes_sql(n: str) -> str:
+    steps = " ".join(f"WHEN {n} >= {1024**k} THEN printf('%.1f {u}', round({n} / {1024.0**k!r}::DOUBLE, 1))" for k, u in ((3, "GB"), (2, "MB"), (1, "KB")))
+    return f"CASE WHEN coalesce({n}, 0) = 0 THEN '0 B' {steps} ELSE {n} || ' B' END"
+
+
+@query(f"SELECT doc_id, {_bytes_sql('n_chars')} AS size, {_bytes_sql('n_chars * 1000003')} AS larger, trim(coalesce(nullif(left(trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9_\\x{{900}}-\\x{{dff}} -]+', '', 'g')), 60), ''), 'scan')) AS name FROM (SELECT doc_id, text, n_chars FROM documents UNION ALL VALUES (-1, '!?', 0), (-2, NULL, NULL), (-3, '', 1024), (-4, ' Bill 7/2 ', 1048576))")
 def file_names(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where("n_chars < 1048576 and n_chars > 61").select("doc_id", dates.format_bytes(F.col("n_chars")).alias("size"), text.safe_name("text").alias("name"))
-    return rows.withColumn("name", F.trim("name"))
+    """All documents, and four rows for a name of nothing and other units."""
+    more = spark.createDataFrame([(-1, "!?", 0), (-2, None, None), (-3, "", 1024), (-4, " Bill 7/2 ", 1048576)], "doc_id long, text string, n_chars long")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("n_chars").cast("long").alias("n_chars")).unionByName(more)
+    return rows.select("doc_id", dates.format_bytes(F.col("n_chars")).alias("size"), dates.format_bytes(F.col("n_chars") * 1000003).alias("larger"), F.trim(text.safe_name("text")).alias("name"))
 
 
 @query("""SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS escaped, regexp_replace(regexp_replace(url, '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, sha256(replace(replace(replace(replace(replace(html, '&#39;', ''''), '&quot;', '"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>')) AS unescaped FROM pages""")
@@ -412,7 +460,6 @@ def escaped_pages(spark, sf_dir):
 
 @query("SELECT o_orderkey, strftime(o_orderdate, 'Scan %Y-%m-%d %H.%M') AS title, strftime(o_orderdate, 'D:%Y%m%d%H%M%S') || '+00''00''' AS stamp FROM orders")
 def date_formats(spark, sf_dir):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return table(spark, sf_dir, "orders").select("o_orderkey", dates.default_title(F.col("o_orderdate")).alias("title"), dates.pdf_date(F.col("o_orderdate")).alias("stamp"))
 
 

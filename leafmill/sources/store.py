@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from leafmill import schemas
 from leafmill.functions.dates import default_title
-from leafmill.functions.text import slug
+from leafmill.functions.text import has_text, slug
 
 # Settings that hold unless stored otherwise, as JSON.
 DEFAULT_SETTINGS = {
@@ -130,14 +130,14 @@ def set_settings(stored: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def export_text(pages: DataFrame) -> DataFrame:
-    """``(docId, text)``: the texts of the pages that have any, with a blank line between."""
-    own = pages.where(F.coalesce(F.trim("text"), F.lit("")) != "")
+    """``(docId, text)``: the texts of the pages that have any, if only blanks, with a blank line between. No row where no page has one."""
+    own = pages.where(F.coalesce("text", F.lit("")) != "")
     return own.groupBy("docId").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("index", "text"))), lambda s: s["text"]), "\n\n").alias("text"))
 
 
 def read_status(pages: DataFrame) -> DataFrame:
-    """``(docId, pages, read, any_read, all_read)``."""
-    has = F.coalesce(F.trim("text"), F.lit("")) != ""
+    """``(docId, pages, read, any_read, all_read)``; a page of white space alone, or of no text, isn't read."""
+    has = has_text("text")
     return pages.groupBy("docId").agg(F.count("*").alias("pages"), F.count_if(has).alias("read"), F.bool_or(has).alias("any_read"), F.bool_and(has).alias("all_read"))
 
 
@@ -197,10 +197,17 @@ class Store:
         if name == "pages":
             shaped = shaped.repartition("docId").sortWithinPartitions("docId", "index")
         shaped.write.parquet(f"{self.path}/{name}/{version}")
-        fs, where = self._fs(f"{self.path}/{name}/CURRENT")
-        out = fs.create(where, True)
+        # written beside it and moved over it, so that a reader finds the old version or the new one
+        fs, beside = self._fs(f"{self.path}/{name}/{version}.current")
+        out = fs.create(beside, True)
         out.write(bytearray(version.encode()))
         out.close()
+        sc = self.spark.sparkContext
+        rename = sc._jvm.org.apache.hadoop.fs.Options.Rename
+        over = sc._gateway.new_array(rename, 1)
+        over[0] = rename.OVERWRITE
+        _, where = self._fs(f"{self.path}/{name}/CURRENT")
+        sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(beside.toUri(), sc._jsc.hadoopConfiguration()).rename(beside, where, over)
 
     def problems(self) -> list[tuple[str, str]]:
         """Problems of the stored files, by their own schemas."""
