@@ -36,7 +36,7 @@ SEED = 20
 SAMPLE, SAMPLE_VALUES = 16_384, 1 << 21
 VECTORS_IN_CELL = 8_192
 LEAF = 256
-#: Query vectors that one task searches a cell for.
+#: Query vectors that one task searches a cell for, about.
 QUERIES_IN_TASK = 16_384
 #: Inner products this near, or by this share of the squared lengths, may be equal: the last digits of matrix products are not final.
 _NEAR, _NEAR_SHARE = 1e-9, 1e-12
@@ -213,16 +213,14 @@ def nearest(rows: DataFrame, every: int = 20, neighbours: int = NEIGHBOURS, stop
                 yield x[["cell", "ids", "embedding"]]
 
     queries = asked.select("h1", "h2").distinct().join(vectors, ["h1", "h2"]).select("h1", "h2", "embedding")
-    tasks = -(-max(1, queries.count()) // QUERIES_IN_TASK)
-    queries = queries.withColumn("block", F.pmod(F.col("h2"), F.lit(tasks)).cast("int"))
     placed = vectors.select("ids", "embedding").mapInPandas(to_cells, "cell long, ids array<long>, embedding array<double>")
-    placed = materialize(placed, "placed").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    placed = materialize(placed, "placed")
 
     def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             if len(x):
                 x["cell"], x["bound"] = cells.find(project(np.stack(x["embedding"].to_list()), None)), np.inf
-                yield x[["h1", "h2", "cell", "block", "bound", "embedding"]]
+                yield x[["h1", "h2", "cell", "bound", "embedding"]]
 
     def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -238,7 +236,7 @@ def nearest(rows: DataFrame, every: int = 20, neighbours: int = NEIGHBOURS, stop
                 to.append(far)
             rows = x.iloc[np.concatenate(at)].copy()
             rows["cell"] = np.concatenate(to)
-            yield rows[["h1", "h2", "cell", "block", "bound", "embedding"]]
+            yield rows[["h1", "h2", "cell", "bound", "embedding"]]
 
     def visit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"h1": [], "h2": [], "vec_id": [], "score": []}
@@ -254,17 +252,23 @@ def nearest(rows: DataFrame, every: int = 20, neighbours: int = NEIGHBOURS, stop
                 out["score"] += [s for _, s in found]
         return pd.DataFrame(out).astype({"h1": "int64", "h2": "int64", "vec_id": "int64", "score": "float64"})
 
-    routed = "h1 long, h2 long, cell long, block int, bound double, embedding array<double>"
+    routed = "h1 long, h2 long, cell long, bound double, embedding array<double>"
 
     def visited(to: DataFrame) -> DataFrame:
-        return placed.groupBy("cell", "block").cogroup(to.groupBy("cell", "block")).applyInPandas(visit, "h1 long, h2 long, vec_id long, score double")
+        # a cell's vectors go to as many tasks as the queries that were sent to it need, and nowhere if none was
+        to = materialize(to, "routed")
+        blocks = materialize(to.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES_IN_TASK).cast("int").alias("blocks")), "blocks")
+        to = to.join(blocks, "cell").withColumn("block", F.pmod(F.col("h2"), F.col("blocks")).cast("int")).drop("blocks")
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+        held = placed.join(blocks, "cell").select("cell", every, "ids", "embedding")
+        return held.groupBy("cell", "block").cogroup(to.groupBy("cell", "block")).applyInPandas(visit, "h1 long, h2 long, vec_id long, score double")
 
     first = materialize(visited(queries.mapInPandas(home, routed)), "home")
     # the last of a full list bounds what the other cells must offer
     square = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v)
     last = first.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("score").alias("low"))
     bound = F.when(F.col("n") >= most, F.greatest(F.lit(0.0), square + F.lit(greatest * greatest) - 2 * F.col("low"))).otherwise(F.lit(float("inf")))
-    rest = queries.join(last, ["h1", "h2"], "left").select("h1", "h2", "block", bound.alias("bound"), "embedding")
+    rest = queries.join(last, ["h1", "h2"], "left").select("h1", "h2", bound.alias("bound"), "embedding")
     found = first.unionByName(visited(rest.mapInPandas(others, routed)))
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= most).drop("n")
     each = asked.join(best, ["h1", "h2"]).where("vec_id <> query_id")
