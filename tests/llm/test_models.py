@@ -138,3 +138,43 @@ def test_chi_square():
 def test_clean_text_is_left_alone(spark):
     model = toxicity.learn([(t, y) for _, t, y in corpus(600, 2)])
     assert toxicity.Scorer(model).score(CLEAN) < 0.5
+
+
+def plain_score(text, model):
+    """The score from the definition: each match looks back in its clause for what marks it; no machine, no classes of the operator."""
+    total, clauses, count = {}, 0, 0
+    for clause in text.lower().replace("?", ".").replace("\n", ".").split("."):
+        own = clause.replace(",", " ").split()
+        count += len(own)
+        found = []
+        for w in own:
+            stems = [model.stems[w[:n].encode()] for n in range(4, 7) if len(w) >= n and w[:n].encode() in model.stems]
+            found.append(model.words.get(w.encode()) or max(stems, key=lambda x: x[1], default=(".", 0.0)))
+        best = {}
+        for i, (c, weight) in enumerate(found):
+            if c in "IH":
+                before = [x for x, _ in found[:i]]
+                kind = c + "~" * ("N" in before[-4:]) + "^" * ("R" in before) + "@" * ("T" in before[-4:])
+                best[kind] = max(weight, best.get(kind, 0.0))
+        for kind, weight in best.items():
+            total[kind] = total.get(kind, 0.0) + weight
+        clauses += bool(best)
+    z = model.coefficients[0] + (model.coefficients[-2] if clauses else 0.0) + model.coefficients[-1] * np.log1p(100 * clauses / max(1, count))
+    kinds = [c + a + b + d for c in "IH" for a in ("", "~") for b in ("", "^") for d in ("", "@")]
+    z += sum(model.coefficients[1 + kinds.index(k)] * np.log1p(v) for k, v in total.items())
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def test_scores_against_a_plain_recomputation():
+    rng = random.Random(5)
+    words = toxicity._stated() | {b"zorp": ("I", 3.25), b"jerk": ("I", 0.5)}
+    model = toxicity.Model(words, {b"dimw": ("I", 1.5), b"dimwit": ("I", 2.5), b"smash": ("H", 1.0)}, tuple(rng.uniform(-0.6, 0.6) for _ in range(len(toxicity.KINDS) + 3)))
+    known = "idiot zorp jerk dimwits dimwxy smashing kill you they not never said wrote tree house river".split()
+    scorer, seen = toxicity.Scorer(model), set()
+    for n in range(4000):
+        text = "".join(rng.choice(known) + rng.choice([" "] * 7 + [", ", ". ", "? ", "\n"]) for _ in range(n % 40))
+        text = text.upper() if n % 7 == 0 else text
+        want = plain_score(text, model)
+        assert abs(scorer.score(text) - want) < 1e-9, text
+        seen.add(round(float(want), 6))
+    assert len(seen) > 2000
