@@ -104,10 +104,14 @@ def is_junk(text: Column | str) -> Column:
     return (length == 0) | (good == 0) | ((length > 3) & (share < 0.5)) | (t.rlike(r"(?s)(.)\1{3,}") & (share < 0.6))
 
 
+#: Confidences below which a word is noise: an Indic one, and any other.
+UNSURE_INDIC, UNSURE = 12, 40
+
+
 def is_noise(text: Column | str, confidence: Column | str) -> Column:
     """Junk, or too little confidence for its script: 12 for Indic words, 40 for others. Null confidence is 0."""
     sure = F.coalesce(_text(confidence), F.lit(0.0))
-    return is_junk(text) | F.when(has_indic_text(text), sure < 12).otherwise(sure < 40)
+    return is_junk(text) | F.when(has_indic_text(text), sure < UNSURE_INDIC).otherwise(sure < UNSURE)
 
 
 def low_confidence(confidence: Column | str) -> Column:

@@ -134,3 +134,18 @@ def test_events_without_value_reset_the_count(spark, tmp_path):
     events.selectExpr("*", "timestamp_seconds(event_id) AS ts").write.parquet(str(tmp_path / "events.parquet"))
     got = {r.frame_id: r["count"] for r in QUERIES["arm_events"](spark, str(tmp_path)).collect()}
     assert got == {0: 1, 1: 2, 2: 0, 3: 1, 4: 2}
+
+
+def test_passes_of_a_page_meet_without_a_shuffle(spark, tmp_path):
+    from leafmill.plans.queries import QUERIES
+
+    docs = lambda ids: spark.createDataFrame([(i, "one two three") for i in ids], "doc_id long, text string")
+    docs([1, 2, None]).write.parquet(str(tmp_path / "apart/documents.parquet"))
+    docs([1, 2, 1]).write.parquet(str(tmp_path / "repeated/documents.parquet"))
+    for name in ("iou_candidates",):
+        plan = QUERIES[name](spark, str(tmp_path / "apart"))._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan, name
+    pairs = {k: QUERIES["iou_candidates"](spark, str(tmp_path / k)).groupBy("page_id").count().collect() for k in ("apart", "repeated")}
+    pairs = {k: dict(map(tuple, v)) for k, v in pairs.items()}
+    # a page without an id overlaps with nothing; documents of one id are one page
+    assert set(pairs["apart"]) == {1, 2} and pairs["repeated"] == {1: 4 * pairs["apart"][1], 2: pairs["apart"][2]}
