@@ -1,9 +1,10 @@
 """Two passes over the same pages, side by side: their overlapping boxes, and the passes merged.
 
-Rows are ``(page_id, a, a_idx, a_..., b, b_idx, b_...)``; ``a`` and ``b`` say
-whether the row has a word of that pass. That two words share a row means
-nothing; but rows of one page stand together, so pages are finished one after
-the other and no word goes out more than once.
+Rows are ``(page_id, idx, text, kind, a, a_x0, ..., b, b_x0, ...)``; ``a`` and
+``b`` say whether the row has a word of that pass. Two words may share a row if
+their places and texts are the same, which means nothing else. Rows of one page
+stand together, so pages are finished one after the other and no word goes out
+more than once.
 """
 
 from __future__ import annotations
@@ -23,15 +24,15 @@ BOX = ("x0", "y0", "x1", "y1")
 _ROWS, _PAIRS = 1 << 16, 1 << 20
 
 
-def beside(left: DataFrame, right: DataFrame, *columns: str) -> DataFrame:
+def beside(left: DataFrame, right: DataFrame, shared: tuple[str, ...], own: tuple[str, ...]) -> DataFrame:
     """Two relations of words as rows of this module, those of a page together: every word is shuffled once."""
 
-    def one(prefix: str, there: bool) -> list:
-        types = {c: t for df in (left, right) for c, t in df.dtypes}
-        return [F.lit(there).alias(prefix), *((F.col(c) if there else F.lit(None).cast(types[c])).alias(f"{prefix}_{c}") for c in columns)]
+    def one(df: DataFrame, prefix: str) -> DataFrame:
+        types = dict(df.dtypes)
+        sides = (x for p in "ab" for x in (F.lit(p == prefix).alias(p), *((F.col(c) if p == prefix else F.lit(None).cast(types[c])).alias(f"{p}_{c}") for c in own)))
+        return df.select("page_id", *shared, *sides)
 
-    rows = left.select("page_id", *one("a", True), *one("b", False)).unionByName(right.select("page_id", *one("a", False), *one("b", True)))
-    return rows.repartition("page_id").sortWithinPartitions("page_id")
+    return one(left, "a").unionByName(one(right, "b")).repartition("page_id").sortWithinPartitions("page_id")
 
 
 def _column(t: pa.Table, name: str) -> pa.Array:
@@ -69,14 +70,14 @@ class _Pass:
     """The words of one pass: their rows, pages by number, places and boxes."""
 
     def __init__(self, t: pa.Table, number: np.ndarray, prefix: str):
-        self.t, self.prefix = t, prefix
+        self.t = t
         self.rows = np.flatnonzero(_column(t, prefix).to_numpy(zero_copy_only=False))
         self.page, self.idx = number[self.rows], self.numbers("idx").astype(np.int64)
-        self.box = np.stack([self.numbers(c, np.nan) for c in BOX]).astype(float)
+        self.box = np.stack([self.numbers(f"{prefix}_{c}", np.nan) for c in BOX]).astype(float)
         self.named = _column(t, "page_id").is_valid().to_numpy(zero_copy_only=False)[self.rows]
 
     def numbers(self, name: str, null=0) -> np.ndarray:
-        column = _column(self.t, f"{self.prefix}_{name}")
+        column = _column(self.t, name)
         return (column if null != null else column.fill_null(null)).to_numpy(zero_copy_only=False)[self.rows]
 
 
@@ -151,7 +152,7 @@ def overlaps(rows: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([_column(t, "page_id").take(pa.array(a.rows[i])), pa.array(a.idx[i]), pa.array(b.idx[j]), pa.array(iou)], ["page_id", "a_idx", "b_idx", "iou"])
 
     kind = rows.schema["page_id"].dataType.simpleString()
-    return rows.select("page_id", *(x for p in "ab" for x in (p, f"{p}_idx", *(f"{p}_{c}" for c in BOX)))).mapInArrow(run, f"page_id {kind}, a_idx long, b_idx long, iou double")
+    return rows.select("page_id", "idx", *(x for p in "ab" for x in (p, *(f"{p}_{c}" for c in BOX)))).mapInArrow(run, f"page_id {kind}, a_idx long, b_idx long, iou double")
 
 
 def _chosen(a: _Pass, b: _Pass, i: np.ndarray, j: np.ndarray, iou: np.ndarray) -> np.ndarray:
@@ -186,32 +187,35 @@ def _sorted(keys: list[np.ndarray], text: pa.Array, *last: np.ndarray) -> np.nda
     return np.lexsort((*last[::-1], rank, *keys[::-1]))
 
 
+#: What a word's ``kind`` is the sum of.
+INDIC, LATIN, JUNK = 1, 2, 4
 _SOURCES = pa.array(["indic", "latin", "latin-recovered"])
 
 
 def merge(rows: DataFrame, least: float, bias: float, recovered_from: float) -> DataFrame:
-    """:func:`leafmill.operators.words.merge_passes`; words have ``text, confidence``, their box, and whether they are ``indic``, ``latin`` only and ``junk``."""
-    fields = ["text", "confidence", *BOX]
+    """:func:`leafmill.operators.words.merge_passes`; words have their confidence and box, rows the ``text`` and its ``kind``."""
+    fields = ["confidence", *BOX]
 
     def merged(t: pa.Table, number: np.ndarray) -> pa.RecordBatch:
         a, b = _Pass(t, number, "a"), _Pass(t, number, "b")
-        sure, other = a.numbers("confidence"), b.numbers("confidence")
-        latin = b.numbers("latin", False).astype(bool)
+        sure, other = a.numbers("a_confidence"), b.numbers("b_confidence")
+        kind, text = _column(t, "kind").to_numpy(), _column(t, "text")
+        latin, junk = kind[b.rows] & LATIN > 0, kind[b.rows] & JUNK > 0
         i, j, iou = _overlapping(a, b, least)
         covered = np.zeros(len(b.rows), bool)
         covered[j] = True
-        own = ~a.numbers("indic", False).astype(bool)[i]
+        own = kind[a.rows[i]] & INDIC == 0
         match = _chosen(a, b, i[own], j[own], iou[own])
         at = np.flatnonzero(match >= 0)
         at = at[latin[match[at]] & (other[match[at]] + bias >= sure[at])]
-        more = np.flatnonzero(latin & (other >= recovered_from) & ~b.numbers("junk", False).astype(bool) & ~covered)
-        # rows of the first pass, then those of the second one
+        more = np.flatnonzero(latin & (other >= recovered_from) & ~junk & ~covered)
         row, source = a.rows.copy(), np.zeros(len(a.rows), np.int64)
-        row[at], source[at] = t.num_rows + b.rows[match[at]], 1
-        row, source = np.concatenate([row, t.num_rows + b.rows[more]]), np.concatenate([source, np.full(len(more), 2)])
+        row[at], source[at] = b.rows[match[at]], 1
+        row, source = np.concatenate([row, b.rows[more]]), np.concatenate([source, np.full(len(more), 2)])
         page, place, part = np.concatenate([a.page, b.page[more]]), np.concatenate([a.idx, b.idx[more]]), source == 2
-        taken = pa.array(row)
-        out = {c: pa.concat_arrays([_column(t, f"a_{c}"), _column(t, f"b_{c}")]).take(taken) for c in (*fields, "indic", "junk")}
+        # values of the first pass, then those of the second one
+        taken = pa.array(row + t.num_rows * (source > 0))
+        out = {"text": text.take(pa.array(row))} | {c: pa.concat_arrays([_column(t, f"a_{c}"), _column(t, f"b_{c}")]).take(taken) for c in fields}
         x0, y0, y1 = (out[c].to_numpy(zero_copy_only=False) for c in ("x0", "y0", "y1"))
         middle = (y0 + y1) / 2
         order = _sorted([page.astype(float), middle, x0], out["text"], part, place)
@@ -224,14 +228,15 @@ def merge(rows: DataFrame, least: float, bias: float, recovered_from: float) ->
         ordinal = np.arange(len(page)) - np.repeat(start, np.diff(np.append(start, len(page))))
         values = {c: v.take(pa.array(order)) for c, v in out.items()}
         certain = values["confidence"].fill_null(0.0).to_numpy(zero_copy_only=False)
-        indic, junk = (values[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("indic", "junk"))
-        noise = junk | (certain < np.where(indic, UNSURE_INDIC, UNSURE))
-        page_id = _column(t, "page_id").take(pa.array((row % t.num_rows)[order]))
-        return pa.RecordBatch.from_arrays([page_id, pa.array(ordinal.astype(np.int32)), *(values[c] for c in fields), _SOURCES.take(pa.array(source[order])), pa.array(noise)], ["page_id", "ordinal", *fields, "source", "noise"])
+        row = row[order]
+        noise = (kind[row] & JUNK > 0) | (certain < np.where(kind[row] & INDIC > 0, UNSURE_INDIC, UNSURE))
+        page_id = _column(t, "page_id").take(pa.array(row))
+        return pa.RecordBatch.from_arrays([page_id, pa.array(ordinal.astype(np.int32)), *values.values(), _SOURCES.take(pa.array(source[order])), pa.array(noise)], ["page_id", "ordinal", *values, "source", "noise"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, number in _pages(batches):
             yield merged(t, number)
 
     kind = rows.schema["page_id"].dataType.simpleString()
+    rows = rows.select("page_id", "idx", "text", "kind", *(x for p in "ab" for x in (p, *(f"{p}_{c}" for c in fields))))
     return rows.mapInArrow(run, f"page_id {kind}, ordinal int, text string, confidence double, x0 double, y0 double, x1 double, y1 double, source string, noise boolean")

@@ -136,16 +136,68 @@ def test_events_without_value_reset_the_count(spark, tmp_path):
     assert got == {0: 1, 1: 2, 2: 0, 3: 1, 4: 2}
 
 
+def plainly_merged(a, b):
+    """The passes of one page merged word by word."""
+
+    def iou(p, q):
+        w, h = min(p[6], q[6]) - max(p[4], q[4]), min(p[7], q[7]) - max(p[5], q[5])
+        return 0 if w <= 0 or h <= 0 else w * h / ((p[6] - p[4]) * (p[7] - p[5]) + (q[6] - q[4]) * (q[7] - q[5]) - w * h)
+
+    indic, latin = (lambda s: any("ऀ" <= c <= "ॿ" for c in s)), (lambda s: all(c <= "ɏ" for c in s))
+    used, out = set(), []
+    for n, p in enumerate(a):
+        best = max((q for q in b if q[1] not in used and iou(p, q) > 0.35), key=lambda q: (iou(p, q), -q[1]), default=None)
+        if best is not None and not indic(p[2]):
+            used.add(best[1])
+            if latin(best[2]) and (best[3] or 0) + 8 >= (p[3] or 0):
+                out.append((0, n, best, "latin"))
+                continue
+        out.append((0, n, p, "indic"))
+    out += [(1, q[1], q, "latin-recovered") for q in b if latin(q[2]) and (q[3] or 0) >= 60 and any(map(str.isalnum, q[2])) and not any(iou(p, q) > 0.35 for p in a)]
+    middle = lambda x: (x[2][5] + x[2][7]) / 2
+    line, lines, last = 0, [], None
+    for x in sorted(out, key=lambda x: (middle(x), x[2][4], x[2][2], *x[:2])):
+        line += last is not None and abs(middle(x) - last) > max(6, (x[2][7] - x[2][5]) * 0.55)
+        last = middle(x)
+        lines.append((line, x[2][4], x[2][2], *x[:2], x))
+    noise = lambda w: not any(map(str.isalnum, w[2])) or (w[3] or 0) < (12 if indic(w[2]) else 40)
+    return [(x[2][2], x[2][3], *x[2][4:], x[3], noise(x[2])) for *_, x in sorted(lines, key=lambda x: x[:5])]
+
+
+def test_merge_matches_a_plain_one(spark, monkeypatch):
+    from leafmill.operators import passes
+
+    monkeypatch.setattr(passes, "_ROWS", 50)
+    monkeypatch.setattr(passes, "_PAIRS", 7)
+    rng = np.random.default_rng(7)
+    some = ["abc", "नम", "naïve", "...", "x", "नमx"]
+
+    def make(page, n, shift):
+        # coarse places, so that boxes, overlaps and edges tie; one box covers much of the page
+        box = [(float(x), float(y), float(x + w), float(y + h)) for x, y, w, h in zip(rng.integers(0, 12, n) * 10 + shift, rng.integers(0, 8, n) * 6, rng.integers(2, 5, n) * 5, rng.integers(1, 4, n) * 6)]
+        box[0] = (0.0, -10.0, 500.0, 300.0)
+        return [(page, k, str(rng.choice(some)), None if rng.random() < 0.1 else float(rng.integers(0, 20) * 5), *q) for k, q in enumerate(box)]
+
+    a, b = {p: make(p, n, 0) for p, n in enumerate((3, 40, 90, 1))}, {p: make(p, n, p % 2) for p, n in enumerate((30, 60, 80, 5))}
+    df = lambda x: spark.createDataFrame([r for v in x.values() for r in v], WORD)
+    got = {p: [] for p in a}
+    for r in words.merge_passes(df(a), df(b)).orderBy("page_id", "ordinal").collect():
+        assert r.ordinal == len(got[r.page_id])
+        got[r.page_id].append(tuple(r)[2:])
+    assert got == {p: plainly_merged(a[p], b[p]) for p in a}
+
+
 def test_passes_of_a_page_meet_without_a_shuffle(spark, tmp_path):
     from leafmill.plans.queries import QUERIES
 
     docs = lambda ids: spark.createDataFrame([(i, "one two three") for i in ids], "doc_id long, text string")
     docs([1, 2, None]).write.parquet(str(tmp_path / "apart/documents.parquet"))
     docs([1, 2, 1]).write.parquet(str(tmp_path / "repeated/documents.parquet"))
-    for name in ("iou_candidates",):
+    for name in ("iou_candidates", "merged_passes"):
         plan = QUERIES[name](spark, str(tmp_path / "apart"))._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Join" not in plan, name
     pairs = {k: QUERIES["iou_candidates"](spark, str(tmp_path / k)).groupBy("page_id").count().collect() for k in ("apart", "repeated")}
     pairs = {k: dict(map(tuple, v)) for k, v in pairs.items()}
     # a page without an id overlaps with nothing; documents of one id are one page
     assert set(pairs["apart"]) == {1, 2} and pairs["repeated"] == {1: 4 * pairs["apart"][1], 2: pairs["apart"][2]}
+    assert QUERIES["merged_passes"](spark, str(tmp_path / "apart")).where("page_id is null and source = 'indic'").count() == 3
