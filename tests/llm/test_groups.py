@@ -354,3 +354,23 @@ def test_sharding(spark, edge):
     assert all(sorted(v) == list(range(len(v))) for _, v in got.groupby("shard").slot)
     edges = sharding.shard_documents(edge, 40)
     assert edges.count() == edge.count() and sharding.shard_documents(edge.limit(0), 40).count() == 0
+
+
+def test_line_dedup_query_finds_all_pairs(spark, tmp_path, monkeypatch):
+    """Long lines with a changed letter in nearly every word share no key of words, yet are within the similarity."""
+    from leafmill.llm.queries import op1_line_dedup
+
+    monkeypatch.setattr(linededup, "_BLOCK_LINES", 9)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("aeioudlmnrst") for _ in range(rng.randint(4, 8)))
+    lines = [" ".join(word() for _ in range(rng.choice((5, 9, 25, 60)))) for _ in range(30)]
+    changed = lambda x, k: " ".join(w[:at] + "q" * k + w[at + k :] for w in x.split() for at in [rng.randrange(len(w) - 1)])
+    lines += [changed(x, 1) for x in lines] + [changed(x, 2) for x in lines[:15]]
+    spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    root = list(range(len(lines)))
+    for i, x in enumerate(lines):
+        for j in range(i):
+            if root[i] != root[j] and linededup.similar(lines[j], x):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    got = {r.doc_id: r.n_dropped for r in op1_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: int(root[i] != i) for i in range(len(lines))} and sum(got.values()) >= 20
