@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from leafmill.llm import components, linededup, sharding, simhash
+from leafmill.llm import _shared, allpairs, components, linededup, sharding, simhash
 from leafmill.llm._shared import together
 from tests.llm.conftest import CLEAN
 
@@ -374,3 +374,55 @@ def test_line_dedup_query_finds_all_pairs(spark, tmp_path, monkeypatch):
                 root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
     got = {r.doc_id: r.n_dropped for r in op1_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {i: int(root[i] != i) for i in range(len(lines))} and sum(got.values()) >= 20
+
+
+def test_all_pairs_shuffle_each_line_once(spark, monkeypatch):
+    """A line meets all lines of like lengths; copies for each of these meetings would fill the disks."""
+    monkeypatch.setattr(linededup, "_BLOCK_LINES", 5)
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("abcde", k=rng.choice((20, 21, 60)))) for _ in range(100)]
+    lines = list(enumerate([*texts, *("f" + x[:9] + "f" + x[10:] for x in texts)]))
+    within = lambda a, b: abs(len(a) - len(b)) <= 12 and plain_distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)
+    links = linededup.all_links(spark.createDataFrame(lines, "node long, text string"), linededup.SIMILARITY)
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "CartesianProduct" in plan
+    tables = [p for _, p in _shared._written if "/blocks-" in p]
+    sizes = [len(r.nodes) // 8 for r in spark.read.parquet(tables[-1]).collect()]
+    assert len(sizes) > 20 and sum(sizes) == len(lines)
+    root = simhash.Links()
+    for r in links.collect():
+        assert within(lines[r.u][1], lines[r.v][1])
+        root.add(r.u, r.v)
+    near = [(i, j) for i, a in lines for j, b in lines[:i] if within(a, b)]
+    assert len(near) >= 100 and all(root.root(i) == root.root(j) for i, j in near)
+
+
+def test_all_pairs_of_blocks():
+    """No near pair is lost before it is verified, and verification is exact; alphabets with many common segments, lines of one to many words of bits."""
+    rng = random.Random(4)
+    for alphabet in ("ab ", "etaoin shrdlu", "abcdefgh é中👍"):
+        texts = set()
+        for size in (1, 2, 3, 9, 40, 64, 65, 130, 400):
+            for _ in range(3):
+                line = rng.choices(alphabet, k=size)
+                for _ in range(4):
+                    near = list(line)
+                    for _ in range(rng.randint(0, size // 4 + 1)):
+                        k = rng.randrange(len(near) + 1)
+                        near[k : k + rng.randint(0, 1)] = rng.choices(alphabet, k=rng.randint(0, 1))
+                    texts.add(" ".join("".join(near).split()))
+        texts = sorted(texts - {""})
+        rng.shuffle(texts)
+        half = len(texts) // 2
+        a, b = allpairs.Block(np.arange(half), texts[:half], 0.8), allpairs.Block(np.arange(half, len(texts)), texts[half:], 0.8)
+        for one, other in ((a, b), (b, a), (a, a)):
+            met = [(i, j) for x, y in allpairs.candidates(one, other) for i, j in zip(x.tolist(), y.tolist())]
+            assert len(met) == len(set(met))
+            names = [[texts[k] for k in side.nodes] for side in (one, other)]
+            symbols = np.unique(np.concatenate([one.codes.ravel(), other.codes.ravel()]), return_inverse=True)[1].astype(np.int32)
+            x, y = symbols[: one.codes.size].reshape(one.codes.shape), symbols[one.codes.size :].reshape(other.codes.shape)
+            i, j = np.array(met).T
+            found = {(p, q) for p, q, good in zip(i.tolist(), j.tolist(), allpairs.near(x, one.lengths, i, y, other.lengths, j, one.most[i])) if good}
+            later = lambda p, q: (len(names[0][p]), one.nodes[p]) > (len(names[1][q]), other.nodes[q])  # noqa: E731, B023
+            want = {(p, q) for p in range(len(names[0])) for q in range(len(names[1])) if later(p, q) and len(names[0][p]) - len(names[1][q]) <= one.most[p] and plain_distance(names[0][p], names[1][q]) <= one.most[p]}
+            assert found == want and want
