@@ -422,7 +422,7 @@ def test_all_pairs_of_blocks():
             symbols = np.unique(np.concatenate([one.codes.ravel(), other.codes.ravel()]), return_inverse=True)[1].astype(np.int32)
             x, y = symbols[: one.codes.size].reshape(one.codes.shape), symbols[one.codes.size :].reshape(other.codes.shape)
             i, j = np.array(met).T
-            found = {(p, q) for p, q, good in zip(i.tolist(), j.tolist(), allpairs.near(x, one.lengths, i, y, other.lengths, j, one.most[i])) if good}
+            found = {(p, q) for p, q, good in zip(i.tolist(), j.tolist(), allpairs.near(x, one.lengths, i, y.T, other.lengths, j, one.most[i])) if good}
             later = lambda p, q: (len(names[0][p]), one.nodes[p]) > (len(names[1][q]), other.nodes[q])  # noqa: E731, B023
             want = {(p, q) for p in range(len(names[0])) for q in range(len(names[1])) if later(p, q) and len(names[0][p]) - len(names[1][q]) <= one.most[p] and plain_distance(names[0][p], names[1][q]) <= one.most[p]}
             assert found == want and want
