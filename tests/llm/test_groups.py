@@ -426,3 +426,29 @@ def test_all_pairs_of_blocks():
             later = lambda p, q: (len(names[0][p]), one.nodes[p]) > (len(names[1][q]), other.nodes[q])  # noqa: E731, B023
             want = {(p, q) for p in range(len(names[0])) for q in range(len(names[1])) if later(p, q) and len(names[0][p]) - len(names[1][q]) <= one.most[p] and plain_distance(names[0][p], names[1][q]) <= one.most[p]}
             assert found == want and want
+
+
+def test_unlike_long_lines_are_seldom_verified():
+    """Long lines of the same few syllables share most segments, but not where the edits allowed could have moved them."""
+    rng = random.Random(6)
+    syllables = [x + y for x in "bdfghklmnprstvw" for y in "aeiou"]
+    rng.shuffle(syllables)
+    words = ["".join(rng.choices(syllables[:24], k=rng.randint(1, 4))) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=300))[:400] for _ in range(256)]
+    a, b = allpairs.Block(np.arange(128), texts[:128], 0.8), allpairs.Block(np.arange(128, 256), texts[128:], 0.8)
+    met = sum(len(i) for x, y in ((a, b), (b, a)) for i, _ in allpairs.candidates(x, y))
+    assert met < 0.01 * 128 * 128
+
+
+def test_blocks_in_order_of_length():
+    """Only the shorter block has a table; lines of equal length meet across the two, whatever their nodes."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcdefgh ", k=k)).replace(" ", "x") for k in (40, 60, 60, 60, 70, 700)]
+    near = ["zz" + x[2:] for x in texts[1:4]] + [texts[4] + "zz", texts[5][:300] + texts[5][310:] + "z" * 9 + "y" * 41]
+    for nodes in (range(len(near)), range(100, 100 + len(near))):
+        short, long = allpairs.Block(np.arange(50, 54), texts[:4], 0.8), allpairs.Block(np.array(nodes), near, 0.8)
+        for links in (allpairs.links_of(short, long), allpairs.links_of(long, short)):
+            assert {frozenset(x) for x in links} == {frozenset((51 + k, nodes[k])) for k in range(3)}
+        assert long._table is None
+    for texts in (["a" * 3000, "a" * 2900 + "b" * 100], ["ab" * 1500, "ba" * 1700]):
+        assert len(allpairs.links_of(*(allpairs.Block(np.array([k]), [x], 0.8) for k, x in enumerate(texts)))) == 1
